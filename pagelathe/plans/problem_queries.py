@@ -42,7 +42,7 @@ NAME = "regexp_replace(lower(trim(p.name, ' ' || chr(9) || chr(10) || chr(13))),
 TEXT = "trim(regexp_replace(coalesce(p.text, ''), '[\\s\\x{a0}]+', ' ', 'g'))"
 UTC = "strftime(timezone('UTC', {0}), '%Y-%m-%dT%H:%M:%SZ')"
 VERSIONS = f"""versions as (select title, vt, structured_part from (
-  select nullif({TITLE.format("title")}, '') as title, {INSTANT} as at, structured_part,
+  select nullif({TITLE.format("title")}, '') as title, {INSTANT} as vt, structured_part,
     row_number() over (partition by {TITLE.format("title")}, {INSTANT} order by loaded_at desc, rev_id desc) as rn
   from page_history where structured_part is not null and {INSTANT} is not null) where rn = 1 and title is not null)"""
 PERIODS = f"""with {VERSIONS},
@@ -53,7 +53,7 @@ lasts as (select * from (select *, row_number() over (partition by title, v, nam
 runs as (select *, case when lag(v) over w = v - 1 and lag(text) over w = text then 0 else 1 end as starts from lasts window w as (partition by title, name order by v)),
 grouped as (select *, sum(starts) over (partition by title, name order by v) as g from runs)
 select title, name, min(text) as text, {UTC.format("min(vt)")} as valid_from,
-  coalesce({UTC.format("arg_max(following, v)")}, '') as valid_to
+  coalesce({UTC.format("arg_max_null(following, v)")}, '') as valid_to
 from grouped group by title, name, g"""
 
 ORACLE = {
