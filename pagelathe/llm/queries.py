@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm import neardup
+from pagelathe.llm import neardup, reading
 from pagelathe.session import table
 
 #: p6: runs of three tokens, 0.6 of the union in common, sets of 20 runs at least.
@@ -28,8 +28,14 @@ def p6_found(spark, d: str) -> DataFrame:
     return neardup.all_pairs(pairs, copies).selectExpr(KINDS, "id_a", "id_b")
 
 
+def p9_levels(spark, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 QUERIES = {
     "p6_found": p6_found,
+    "p9_found": lambda s, d: p9_levels(s, d).where("demanding").select("doc_id"),
+    "p9_levels": lambda s, d: p9_levels(s, d).select("doc_id", F.round("level", 3).alias("level"), "demanding"),
 }
 
 RUNS = """tokens as (
