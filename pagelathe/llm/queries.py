@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm import neardup, reading
+from pagelathe.llm import mixing, neardup, packing, reading, tokens
 from pagelathe.session import table
 
 #: p6: runs of three tokens, 0.6 of the union in common, sets of 20 runs at least.
@@ -28,12 +28,30 @@ def p6_found(spark, d: str) -> DataFrame:
     return neardup.all_pairs(pairs, copies).selectExpr(KINDS, "id_a", "id_b")
 
 
+def p7_assignment(spark, d: str) -> DataFrame:
+    sizes = tokens.token_counts(table(spark, d, "documents"))
+    return packing.packed_all(sizes, table(spark, d, "pack_sizes"))
+
+
+def p7_use(spark, d: str) -> DataFrame:
+    return packing.use(p7_assignment(spark, d), table(spark, d, "pack_sizes"))
+
+
+def mixed(spark, d: str):
+    sizes = tokens.token_counts(table(spark, d, "documents"), ("source",))
+    return mixing.mixture(sizes, table(spark, d, "mix_targets"))
+
+
 def p9_levels(spark, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
 QUERIES = {
     "p6_found": p6_found,
+    "p7_assignment": p7_assignment,
+    "p7_use": p7_use,
+    "p8_mixture": lambda s, d: mixed(s, d)[0],
+    "p8_shares": lambda s, d: mixing.shares(*mixed(s, d)),
     "p9_found": lambda s, d: p9_levels(s, d).where("demanding").select("doc_id"),
     "p9_levels": lambda s, d: p9_levels(s, d).select("doc_id", F.round("level", 3).alias("level"), "demanding"),
 }
