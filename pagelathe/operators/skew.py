@@ -31,7 +31,7 @@ class LoadPlan:
 
     def heavy_table(self, df: DataFrame, key: str) -> DataFrame:
         """``key, tasks``: at most ``tasks / HEAVY`` rows, whatever the data, so it may be broadcast."""
-        return df.sparkSession.createDataFrame(list(self.heavy.items()), f"{key} string, tasks array<int>")
+        return df.sparkSession.createDataFrame(list(self.heavy.items()), f"{key} string, _tasks array<int>")
 
 
 def load_plan(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
@@ -65,24 +65,24 @@ def bucket(key: Column, buckets: int) -> Column:
 
 
 def assigned(df: DataFrame, key: str, spread: list[str], plan: LoadPlan) -> DataFrame:
-    """``df`` with its ``task`` and, of split keys, ``fragment``; ``spread``: columns whose hash spreads a key's rows."""
+    """``df`` with its ``_task`` and, of split keys, ``_fragment``; ``spread``: columns whose hash spreads a key's rows."""
     light = F.array([F.lit(t) for t in plan.light]) if len(plan.light) <= 1 << 14 else None
     b = bucket(F.col(key), len(plan.light))
     lights = F.get(light, b) if light is not None else F.pmod(b, F.lit(plan.tasks))
-    fragment = F.coalesce(F.pmod(F.xxhash64(*spread), F.size("tasks")).cast("int"), F.lit(0))
+    fragment = F.coalesce(F.pmod(F.xxhash64(*spread), F.size("_tasks")).cast("int"), F.lit(0))
     return (
         df.join(F.broadcast(plan.heavy_table(df, key)), key, "left")
-        .withColumn("fragment", F.when(F.col("tasks").isNotNull(), fragment).otherwise(F.lit(0)))
-        .withColumn("task", F.when(F.col("tasks").isNotNull(), F.get("tasks", F.col("fragment"))).otherwise(lights))
-        .drop("tasks")
+        .withColumn("_fragment", F.when(F.col("_tasks").isNotNull(), fragment).otherwise(F.lit(0)))
+        .withColumn("_task", F.when(F.col("_tasks").isNotNull(), F.get("_tasks", F.col("_fragment"))).otherwise(lights))
+        .drop("_tasks")
     )
 
 
 def balanced_totals(df: DataFrame, key: str, value: str, spread: list[str]) -> DataFrame:
     """Rows, sum and largest ``value`` of each key: ``key, n_rows, total, largest``; nulls of ``value`` don't add to the last two."""
     plan = load_plan(df, key)
-    rows = assigned(df.select(key, value, *spread), key, spread, plan).repartitionById(plan.tasks, "task")
-    parts = rows.groupBy(key, "task", "fragment").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).alias("total"), F.max(value).alias("largest"))
+    rows = assigned(df.select(key, value, *spread), key, spread, plan).repartitionById(plan.tasks, "_task")
+    parts = rows.groupBy(key, "_task", "_fragment").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).alias("total"), F.max(value).alias("largest"))
     return parts.groupBy(key).agg(F.sum("n_rows").alias("n_rows"), F.sum("total").alias("total"), F.max("largest").alias("largest"))
 
 
@@ -91,8 +91,8 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread:
     by the hash of ``spread``, and only the rows of ``right`` with such a key are copied, once to each fragment."""
     plan = load_plan(left, key)
     heavy = F.broadcast(plan.heavy_table(left, key))
-    copies = right.join(heavy, key, "left").withColumn("fragment", F.explode(F.expr("case when tasks is null then array(0) else sequence(0, size(tasks) - 1) end"))).drop("tasks")
-    return assigned(left, key, spread, plan).drop("task").join(copies, [key, "fragment"], how).drop("fragment")
+    copies = right.join(heavy, key, "left").withColumn("_fragment", F.explode(F.expr("case when _tasks is null then array(0) else sequence(0, size(_tasks) - 1) end"))).drop("_tasks")
+    return assigned(left, key, spread, plan).drop("_task").join(copies, [key, "_fragment"], how).drop("_fragment")
 
 
 def statistics_rows(stats: DataFrame) -> DataFrame:
