@@ -245,8 +245,42 @@ def postings(sets: DataFrame, rule: Rule, buckets: int, frequent) -> DataFrame:
 BLOCKS = "kind int, block bigint, id bigint, side int"
 
 
+def stars(ids, n, place, side, start, size, rule: Rule):
+    """Blocks of one record and the longer ones that it may be alike, of lists with at most 64 records in order of size.
+
+    Two sets that are alike meet first under the run that both have first. There the places of the run leave room for
+    the overlap they need; elsewhere they may fail this test.
+    """
+    queries, candidates = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for low in range(0, len(start), 1 << 15):
+        begin, m = start[low : low + (1 << 15)], size[low : low + (1 << 15)]
+        at = np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        later = np.repeat(begin + m, m) - at - 1
+        a = np.repeat(at, later)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+        room = np.minimum(n[a] - place[a], n[b] - place[b])
+        ok = (place[a] < rule.index(n[a])) & (n[a] >= rule.similarity * n[b] - 1e-9) & (room >= rule.overlap(n[a], n[b]))
+        ok &= (ids[a] != ids[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        queries.append(ids[a[ok]])
+        candidates.append(ids[b[ok]])
+    pairs = np.unique(np.stack([np.concatenate(queries), np.concatenate(candidates)], axis=1), axis=0)
+    first = np.unique(pairs[:, 0])
+    name = lambda x: mix(x.astype(np.uint64) * M1 + np.uint64(1)).view(np.int64)
+    yield name(first), first, np.full(len(first), 1)
+    yield name(pairs[:, 0]), pairs[:, 1], np.full(len(pairs), 2)
+
+
+def whole(ids, side, start, size):
+    """Longer lists as blocks of all their records; those with the same records have the same name."""
+    if len(start):
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        tags = mix(ids[at].astype(np.uint64) * M1 + side[at].astype(np.uint64))
+        block = np.add.reduceat(tags, np.cumsum(size) - size)
+        yield np.repeat(block, size).view(np.int64), ids[at], side[at]
+
+
 def blocks(posted: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """Members of each block: records posted under one run. Blocks with the same members have the same number."""
+    """Members of each block (``stars``, ``whole``); ``side`` 1 is compared with 2, 0 with any. Members may be repeated."""
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("id", pa.int64()), ("side", pa.int32())])
 
     def run(batches):
@@ -259,33 +293,16 @@ def blocks(posted: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         for kind, found in parts.items():
             keys, ids, n, place, side = (np.concatenate(x) for x in zip(*found))
             found.clear()
-            order = np.lexsort((ids, keys))
+            order = np.lexsort((ids, n, keys))
             keys, ids, n, place, side = keys[order], ids[order], n[order], place[order], side[order]
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(start, len(keys)))
-            # a block of two goes on only if their sizes and the places of their run allow enough overlap
-            two = start[size == 2]
-            short = np.where((n[two] < n[two + 1]) | ((n[two] == n[two + 1]) & (ids[two] < ids[two + 1])), two, two + 1)
-            long = 2 * two + 1 - short
-            room = 1 + np.minimum(n[short] - place[short], n[long] - place[long]) - 1
-            ok = (place[short] < rule.index(n[short])) & (n[short] >= rule.similarity * n[long] - 1e-9) & (room >= rule.overlap(n[short], n[long])) & (ids[two] != ids[two + 1])
-            keep = size > 2
-            keep[np.flatnonzero(size == 2)[ok]] = True
-            start, size = start[keep], size[keep]
-            if not len(start):
-                continue
-            at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            tags = mix(ids[at].astype(np.uint64) * M1 + side[at].astype(np.uint64))
-            block = np.add.reduceat(tags, np.cumsum(size) - size)
-            _, once = np.unique(block, return_index=True)
-            chosen = np.zeros(len(block), bool)
-            chosen[once] = True
-            rows = np.repeat(chosen, size)
-            at = at[rows]
-            names = np.repeat(block, size)[rows].view(np.int64)
-            for low in range(0, len(at), 1 << 16):
-                x = at[low : low + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(names[low : low + (1 << 16)]), pa.array(ids[x]), pa.array(side[x].astype(np.int32))], schema=schema)
+            small = (size > 1) & (size <= 64)
+            out = [*stars(ids, n, place, side, start[small], size[small], rule), *whole(ids, side, start[size > 64], size[size > 64])]
+            for block, member, of in out:
+                for low in range(0, len(block), 1 << 16):
+                    x = slice(low, low + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block[x]), kind, np.int32)), pa.array(block[x]), pa.array(member[x]), pa.array(of[x].astype(np.int32))], schema=schema)
 
     return posted.repartitionById(buckets, "bucket").mapInArrow(run, BLOCKS)
 
