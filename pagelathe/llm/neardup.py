@@ -30,9 +30,11 @@ CODE_BYTES = CODE_BITS // 8
 #: Records a batch of postings makes at most per bucket task, members a block has at most in each of its two groups.
 BUCKET_POSTINGS, GROUP = 3_000_000, 4096
 #: A run is frequent from so many records of one batch on; so many of the most frequent runs are ordered by their counts.
-LOCAL_COUNT, FREQUENT = 4, 1 << 17
-#: Copies up to this number are told to all tasks; more are removed by a join.
-TOLD_COPIES = 1 << 20
+LOCAL_COUNT, FREQUENT = 2, 1 << 17
+#: Ids up to this number are told to all tasks, to leave out sets where they lie; with more, a join does it.
+TOLD = 1 << 20
+#: Runs that two sets must share among their first ones; each set is posted under as many more runs.
+SHARED = 3
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -58,12 +60,12 @@ class Rule:
         return np.ceil((a + b) * t / (1 + t) - 1e-9).astype(np.int64)
 
     def probe(self, n):
-        """First runs of a set that meet those of any shorter set."""
-        return n - np.ceil(n * self.similarity - 1e-9).astype(np.int64) + 1
+        """First runs of a set, of which ``SHARED`` are among the first of any shorter set that is alike."""
+        return np.minimum(n, n - np.ceil(n * self.similarity - 1e-9).astype(np.int64) + SHARED)
 
     def index(self, n):
-        """First runs of a set that meet those of any set at least as long."""
-        return n - self.overlap(n, n) + 1
+        """The same for sets at least as long."""
+        return np.minimum(n, n - self.overlap(n, n) + SHARED)
 
     def radius(self, a, b):
         """Elements in which sets of these sizes may differ."""
@@ -135,6 +137,7 @@ def run_table(records: DataFrame, kind: int, rule: Rule) -> DataFrame:
     """The set of each record, and under ``kind`` -1 - kind the frequent runs of each batch (``id``: code, ``n``: records)."""
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("codes", pa.binary())])
     placed = "positions" in records.columns
+    records = records.select("id", "tokens", *["positions"] * placed)
 
     def run(batches):
         for batch in batches:
@@ -178,7 +181,7 @@ def firsts(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = classes(sets).where("members > 1").select("kind", "c1", "c2", "first")
     copies = written(ids.join(first, ["kind", "c1", "c2"]).where("id <> first").select("kind", "id", "first"), "copies")
     left_out = copies.select("kind", "id")
-    if copies.count() <= TOLD_COPIES:
+    if copies.count() <= TOLD:
         left_out = F.broadcast(left_out)
     return sets.join(left_out, ["kind", "id"], "left_anti"), copies
 
@@ -242,32 +245,34 @@ def postings(sets: DataFrame, rule: Rule, buckets: int, frequent) -> DataFrame:
     return sets.select("kind", "id", "n", "codes").mapInArrow(run, POSTINGS)
 
 
-BLOCKS = "kind int, block bigint, id bigint, side int"
+BLOCKS = "kind int, block bigint, id bigint, side int, common int, need int, ok int"
+STAR = 3
 
 
 def stars(ids, n, place, side, start, size, rule: Rule):
-    """Blocks of one record and the longer ones that it may be alike, of lists with at most 64 records in order of size.
+    """Records that may be alike, from posting lists with at most 64 records in order of size: for each two, the runs of
+    this bucket that they share, the runs they need to share, and whether a run leaves room for their overlap.
 
     Two sets that are alike meet first under the run that both have first. There the places of the run leave room for
-    the overlap they need; elsewhere they may fail this test.
+    the overlap they need; under other runs they may fail this test.
     """
-    queries, candidates = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    found = [np.empty((0, 4), np.int64)]
     for low in range(0, len(start), 1 << 15):
         begin, m = start[low : low + (1 << 15)], size[low : low + (1 << 15)]
         at = np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(m.sum())
         later = np.repeat(begin + m, m) - at - 1
         a = np.repeat(at, later)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+        keep = (place[a] < rule.index(n[a])) & (n[a] >= rule.similarity * n[b] - 1e-9) & (ids[a] != ids[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        a, b = a[keep], b[keep]
+        need = rule.overlap(n[a], n[b])
         room = np.minimum(n[a] - place[a], n[b] - place[b])
-        ok = (place[a] < rule.index(n[a])) & (n[a] >= rule.similarity * n[b] - 1e-9) & (room >= rule.overlap(n[a], n[b]))
-        ok &= (ids[a] != ids[b]) & ((side[a] == 0) | (side[a] != side[b]))
-        queries.append(ids[a[ok]])
-        candidates.append(ids[b[ok]])
-    pairs = np.unique(np.stack([np.concatenate(queries), np.concatenate(candidates)], axis=1), axis=0)
-    first = np.unique(pairs[:, 0])
-    name = lambda x: mix(x.astype(np.uint64) * M1 + np.uint64(1)).view(np.int64)
-    yield name(first), first, np.full(len(first), 1)
-    yield name(pairs[:, 0]), pairs[:, 1], np.full(len(pairs), 2)
+        found.append(np.stack([ids[a], ids[b], np.minimum(need, SHARED), room >= need], axis=1))
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])) if len(rows) else np.empty(0, np.int64)
+    if len(first):
+        yield rows[first, 0], rows[first, 1], np.full(len(first), STAR), np.diff(np.append(first, len(rows))), rows[first, 2], np.maximum.reduceat(rows[:, 3], first)
 
 
 def whole(ids, side, start, size):
@@ -276,12 +281,12 @@ def whole(ids, side, start, size):
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
         tags = mix(ids[at].astype(np.uint64) * M1 + side[at].astype(np.uint64))
         block = np.add.reduceat(tags, np.cumsum(size) - size)
-        yield np.repeat(block, size).view(np.int64), ids[at], side[at]
+        yield np.repeat(block, size).view(np.int64), ids[at], side[at], *[np.ones(len(at), np.int64)] * 3
 
 
 def blocks(posted: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """Members of each block (``stars``, ``whole``); ``side`` 1 is compared with 2, 0 with any. Members may be repeated."""
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("id", pa.int64()), ("side", pa.int32())])
+    """Members of each block (``whole``; ``side`` 1 is compared with 2, 0 with any) and records that may be alike (``stars``)."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("id", pa.int64()), *[(c, pa.int32()) for c in ("side", "common", "need", "ok")]])
 
     def run(batches):
         parts: dict[int, list] = {}
@@ -299,14 +304,27 @@ def blocks(posted: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             size = np.diff(np.append(start, len(keys)))
             small = (size > 1) & (size <= 64)
             out = [*stars(ids, n, place, side, start[small], size[small], rule), *whole(ids, side, start[size > 64], size[size > 64])]
-            for block, member, of in out:
+            for block, member, *more in out:
                 for low in range(0, len(block), 1 << 16):
                     x = slice(low, low + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block[x]), kind, np.int32)), pa.array(block[x]), pa.array(member[x]), pa.array(of[x].astype(np.int32))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block[x]), kind, np.int32)), pa.array(block[x]), pa.array(member[x]), *[pa.array(c[x].astype(np.int32)) for c in more]], schema=schema)
 
     return posted.repartitionById(buckets, "bucket").mapInArrow(run, BLOCKS)
 
 
+def block_members(found: DataFrame) -> DataFrame:
+    """``kind, block, id, side``: blocks of whole lists, and one block of each record with those it may be alike.
+
+    A pair that shares too few runs in short lists but is alike shares one of a long list, whose block has it.
+    """
+    pairs = found.where(F.col("side") == STAR).groupBy("kind", "block", "id").agg(F.sum("common").alias("common"), F.max("need").alias("need"), F.max("ok").alias("ok"))
+    pairs = written(pairs.where("common >= need and ok > 0").select("kind", F.col("block").alias("first"), "id"), "candidates")
+    name = F.xxhash64("first", F.lit(STAR)).alias("block")
+    long = found.where(F.col("side") < STAR).select("kind", "block", "id", "side").distinct()
+    heads = pairs.select("kind", "first").distinct().select("kind", name, F.col("first").alias("id"), F.lit(1).alias("side"))
+    return long.unionByName(heads).unionByName(pairs.select("kind", name, "id", F.lit(2).alias("side")))
+
+
 # --- comparison -------------------------------------------------------------------------------------------------------
 
 PAIRS = "kind int, id_a bigint, id_b bigint, common int, of_all int"
@@ -410,7 +428,10 @@ def near_duplicates(tables: list[DataFrame], rule: Rule) -> tuple[DataFrame, Dat
     total = sets.agg(F.sum(F.col("n"))).first()[0] or 0
     tasks = max(parallelism(spark), 1)
     buckets = max(tasks, math.ceil(total * (1 - rule.similarity) / BUCKET_POSTINGS))
-    members = blocks(postings(one, rule, buckets, frequent), rule, buckets).dropDuplicates(["kind", "block", "id", "side"])
+    members = block_members(written(blocks(postings(one, rule, buckets, frequent), rule, buckets), "blocks"))
+    ids = members.select("kind", "id").distinct()
+    if ids.count() <= TOLD:
+        one = one.join(F.broadcast(ids), ["kind", "id"], "left_semi")
     pairs = alike(members, one, rule, max(tasks, buckets)).groupBy("kind", "id_a", "id_b").agg(F.max("common").alias("common"), F.min("of_all").alias("of_all"))
     return written(pairs, "pairs"), copies, sets.select("kind", "id").distinct()
 
