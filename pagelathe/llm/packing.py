@@ -60,10 +60,10 @@ def best_pair(h: Histogram, room: int, but: int) -> tuple[int, int] | None:
     i, j, best, found = 0, len(h.sizes) - 1, -1, None
     while i <= j:
         a, b = h.sizes[i], h.sizes[j]
-        if a + b > room:
+        if a + b > room or left(b) <= 0:
             j -= 1
             continue
-        if left(b) > 0 and left(a) > (1 if i == j else 0) and a + b > best:
+        if left(a) > (1 if i == j else 0) and a + b > best:
             best, found = a + b, (b, a)
         i += 1
     return found

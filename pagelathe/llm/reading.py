@@ -51,7 +51,7 @@ def running_text(text: str) -> str:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of each text (rows and 64-bit codes, by row): words, pairs of neighbours, sentence lengths."""
-    split = [running_text(t).lower().translate(MARKS).split() for t in texts]
+    split = [running_text(t or "").lower().translate(MARKS).split() for t in texts]
     counts = np.array([len(s) for s in split], np.int64)
     if not counts.sum():
         return np.empty(0, np.int64), np.empty(0, np.uint64)
