@@ -35,13 +35,15 @@ def attribute_set(parts: str) -> str:
 def snapshot_tree(df: DataFrame, attributes: str = "attributes") -> DataFrame:
     """Adds ``tree``: root hash, branch hashes, leaf hashes and leaves of an array of (name, text)."""
     last = BRANCHES * BRANCHES - 1
-    leaves = f"transform(sequence(0, {last}), b -> filter({attributes}, e -> pmod(xxhash64(e.name), {last + 1}) = b))"
+    placed = f"transform({attributes}, e -> named_struct('name', e.name, 'text', e.text, 'leaf', pmod(xxhash64(e.name), {last + 1})))"
     return (
-        df.withColumn("leaves", F.expr(leaves))
+        df.withColumn("placed", F.expr(placed))
+        # the size, used with the root, also keeps the plan from placing the attributes anew for each leaf
+        .withColumns({"leaves": F.expr(f"transform(sequence(0L, {last}L), b -> filter(placed, e -> e.leaf = b))"), "n": F.size("placed")})
         .withColumn("leaf_hash", F.expr("transform(leaves, l -> xxhash64(l))"))
         .withColumn("branch_hash", F.expr(f"transform(sequence(0, {BRANCHES - 1}), n -> xxhash64(slice(leaf_hash, n * {BRANCHES} + 1, {BRANCHES})))"))
-        .withColumn("tree", F.expr("struct(xxhash64(branch_hash) as root, branch_hash, leaf_hash, leaves)"))
-        .drop("leaves", "leaf_hash", "branch_hash")
+        .withColumn("tree", F.expr("struct(xxhash64(branch_hash, n) as root, branch_hash, leaf_hash, leaves)"))
+        .drop("placed", "n", "leaves", "leaf_hash", "branch_hash")
     )
 
 
@@ -56,7 +58,7 @@ case when before is null then flatten(tree.leaves)
                  concat(
                     filter(tree.leaves[l], e -> not array_contains(before.leaves[l], e)),
                     transform(filter(before.leaves[l], o -> not exists(tree.leaves[l], e -> e.name = o.name)),
-                              o -> named_struct('name', o.name, 'text', cast(null as string)))))))))) end"""
+                              o -> named_struct('name', o.name, 'text', cast(null as string), 'leaf', o.leaf))))))))) end"""
 
 
 def attribute_periods(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -70,18 +72,18 @@ def attribute_periods(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     rows, hot = with_slots(dated_versions(history), "title", "at", hot_rows)
     entries = F.transform("structured_part", lambda e: F.struct(param_name(e["name"]).alias("name"), F.coalesce(squeeze(e["text"]), F.lit("")).alias("text")))
     latest = F.max_by("structured_part", F.struct(F.col("loaded_at"), F.col("rev_id"), F.col("structured_part"))).alias("structured_part")
-    # one shuffle by title and slot serves the choice of versions, the comparison and the periods
-    versions = rows.repartition("title", "slot").groupBy("title", "slot", "at").agg(latest)
+    # one shuffle by title (and slot) serves the choice of versions, the comparison and the periods
+    by = ["title"] if hot is None else ["title", "slot"]
+    versions = rows.repartition(*by).groupBy(*by, "at").agg(latest)
     versions = versions.withColumn("entries", F.filter(entries, lambda e: e["name"] != "")).drop("structured_part")
     trees = snapshot_tree(versions.withColumn("attributes", F.expr(attribute_set("entries"))).drop("entries")).drop("attributes")
-    by_slot = Window.partitionBy("title", "slot").orderBy("at")
-    trees = trees.withColumn("before", F.lag("tree").over(by_slot))
+    trees = trees.withColumn("before", F.lag("tree").over(Window.partitionBy(*by).orderBy("at")))
     if hot is not None:
         ends = trees.join(F.broadcast(hot), "title", "left_semi").groupBy("title", "slot").agg(F.max_by("tree", "at").alias("tree"))
         carried = ends.select("title", "slot", F.lag("tree").over(Window.partitionBy("title").orderBy("slot")).alias("carried"))
         trees = trees.join(carried, ["title", "slot"], "left").withColumn("before", F.coalesce("before", "carried")).drop("carried")
-    events = trees.select("title", "slot", "at", F.explode(F.expr(CHANGES)).alias("e")).select("title", "slot", "at", "e.name", "e.text")
-    events = events.withColumn("until", F.lead("at").over(Window.partitionBy("title", "slot", "name").orderBy("at")))
+    events = trees.select(*by, "at", F.explode(F.expr(CHANGES)).alias("e")).select(*by, "at", "e.name", "e.text")
+    events = events.withColumn("until", F.lead("at").over(Window.partitionBy(*by, "name").orderBy("at")))
     if hot is not None:
         firsts = events.join(F.broadcast(hot), "title", "left_semi").groupBy("title", "slot", "name").agg(F.min("at").alias("first"))
         nexts = firsts.select("title", "slot", "name", F.lead("first").over(Window.partitionBy("title", "name").orderBy("slot")).alias("next"))
