@@ -50,7 +50,9 @@ def bin_counts(data: DataFrame, column: str, edges: list[int] | None = None) ->
     for i, _, lo, hi in bins:
         index = F.when((F.col(column) > lo) & (F.col(column) <= hi), F.lit(i)).otherwise(index)
     counts = data.select(index.alias("bin")).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    all_bins = data.sparkSession.createDataFrame(bins, "bin int, label string, lo bigint, hi bigint")
+    kind = "bigint" if all(isinstance(e, int) for e in edges) else "double"
+    bins = [(i, label, *(e if kind == "bigint" else float(e) for e in ends)) for i, label, *ends in bins]
+    all_bins = data.sparkSession.createDataFrame(bins, f"bin int, label string, lo {kind}, hi {kind}")
     return all_bins.join(counts, "bin", "left").select("bin", "label", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 

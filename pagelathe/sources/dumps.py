@@ -28,14 +28,19 @@ class IntegrityError(Exception):
 def read_dump(spark: SparkSession, path: str | list[str], parallel: bool = False, partitions: int | None = None) -> DataFrame:
     """``title, revision`` of each page of the ``.bz2`` files of a folder (or of the files named).
 
-    By default a file is read as a whole and the pages are then spread; ``parallel`` splits within files, where the
-    halves of a page at an edge yield rows without a title, which are left out.
+    By default a file is read as a whole by one task and the pages are then spread. ``parallel`` splits within files
+    (bzip2 allows it): what ends with a page's closing tag is a record, wherever a split falls, and is parsed by itself.
     """
-    reader = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").option("multiLine", str(not parallel).lower())
-    if isinstance(path, str) and os.path.splitext(path)[1] == "":
+    reader = spark.read
+    if isinstance(path, str) and not path.endswith((".bz2", ".xml")):
         reader = reader.option("pathGlobFilter", "*.bz2")
-    pages = reader.schema(PAGE).load(path).where("title is not null")
-    return pages if parallel else pages.repartition(partitions or spark.sparkContext.defaultParallelism)
+    if parallel:
+        records = reader.option("lineSep", "</page>").text(path).select(F.regexp_extract("value", r"(?s)<page[\s>].*$", 0).alias("xml")).where("xml <> ''")
+        options = {"rowTag": "page", "ignoreSurroundingSpaces": "false"}
+        pages = records.select(F.from_xml(F.concat("xml", F.lit("</page>")), PAGE, options).alias("p")).select("p.title", "p.revision")
+        return pages.where("title is not null")
+    pages = reader.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(PAGE).load(path).where("title is not null")
+    return pages.repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
 def kept_revisions(pages: DataFrame) -> DataFrame:
