@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it, with the control characters that separate records.
-SPACE = r"[\s\p{Z}\x{85}\x1c-\x1f]"
+#: White space as Unicode has it, with the control characters that separate records; the inside of a character class.
+SPACE = r"\s\p{Z}\x{85}\x1c-\x1f"
+#: The same as characters.
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none outside."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
 def strip(c: Column) -> Column:
     """Without outer white space of any kind (``trim`` knows only the space)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def page_title(c: Column) -> Column:
@@ -24,13 +26,13 @@ def page_title(c: Column) -> Column:
 
     Underscores are spaces, a run of spaces is one space, outer spaces don't count, the first letter is upper case.
     """
-    t = F.trim(F.regexp_replace(c, rf"(?:_|{SPACE})+", " "))
+    t = F.trim(F.regexp_replace(c, f"[_{SPACE}]+", " "))
     return F.when(F.length(t) > 0, F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30)))
 
 
 def param_name(c: Column) -> Column:
     """A parameter's name: lower case, no outer spaces, runs of spaces, underscores and hyphens as one underscore."""
-    return F.regexp_replace(F.lower(strip(c)), rf"(?:[_-]|{SPACE})+", "_")
+    return F.regexp_replace(F.lower(strip(c)), f"[_{SPACE}-]+", "_")
 
 
 def instant(c: Column) -> Column:

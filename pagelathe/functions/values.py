@@ -21,7 +21,7 @@ ANOTHER = r"^\s*(?:\[[^\]]*\]\s*)?(?:[-–—−/~]|\.\.+|to|or|and|until|till|t
 
 def known(t: Column) -> Column:
     """The text, unless it is blank or says that the value isn't known."""
-    bare = F.trim(F.regexp_replace(t, r"\[[^\]]*\]", ""))
+    bare = F.trim(F.regexp_replace(t, r"\[[^\[\]]*\]", ""))
     return F.when((t != "") & ~F.lower(bare).isin(UNKNOWN), t)
 
 

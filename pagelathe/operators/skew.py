@@ -66,9 +66,9 @@ def bucket(key: Column, buckets: int) -> Column:
 
 def assigned(df: DataFrame, key: str, spread: list[str], plan: LoadPlan) -> DataFrame:
     """``df`` with its ``_task`` and, of split keys, ``_fragment``; ``spread``: columns whose hash spreads a key's rows."""
-    light = F.array([F.lit(t) for t in plan.light]) if len(plan.light) <= 1 << 14 else None
-    b = bucket(F.col(key), len(plan.light))
-    lights = F.get(light, b) if light is not None else F.pmod(b, F.lit(plan.tasks))
+    # one literal that the plan folds into an array
+    light = F.split(F.lit(",".join(map(str, plan.light))), ",").cast("array<int>")
+    lights = F.get(light, bucket(F.col(key), len(plan.light)))
     fragment = F.coalesce(F.pmod(F.xxhash64(*spread), F.size("_tasks")).cast("int"), F.lit(0))
     return (
         df.join(F.broadcast(plan.heavy_table(df, key)), key, "left")
@@ -78,18 +78,18 @@ def assigned(df: DataFrame, key: str, spread: list[str], plan: LoadPlan) -> Data
     )
 
 
-def balanced_totals(df: DataFrame, key: str, value: str, spread: list[str]) -> DataFrame:
+def balanced_totals(df: DataFrame, key: str, value: str, spread: list[str], plan: LoadPlan | None = None) -> DataFrame:
     """Rows, sum and largest ``value`` of each key: ``key, n_rows, total, largest``; nulls of ``value`` don't add to the last two."""
-    plan = load_plan(df, key)
+    plan = plan or load_plan(df, key)
     rows = assigned(df.select(key, value, *spread), key, spread, plan).repartitionById(plan.tasks, "_task")
     parts = rows.groupBy(key, "_task", "_fragment").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).alias("total"), F.max(value).alias("largest"))
     return parts.groupBy(key).agg(F.sum("n_rows").alias("n_rows"), F.sum("total").alias("total"), F.max("largest").alias("largest"))
 
 
-def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", plan: LoadPlan | None = None) -> DataFrame:
     """Join on ``key`` where a few keys hold most rows of ``left``: the rows of a heavy key are spread over its fragments
     by the hash of ``spread``, and only the rows of ``right`` with such a key are copied, once to each fragment."""
-    plan = load_plan(left, key)
+    plan = plan or load_plan(left, key)
     heavy = F.broadcast(plan.heavy_table(left, key))
     copies = right.join(heavy, key, "left").withColumn("_fragment", F.explode(F.expr("case when _tasks is null then array(0) else sequence(0, size(_tasks) - 1) end"))).drop("_tasks")
     return assigned(left, key, spread, plan).drop("_task").join(copies, [key, "_fragment"], how).drop("_fragment")
@@ -103,18 +103,24 @@ def statistics_rows(stats: DataFrame) -> DataFrame:
     own = F.when(F.col("shard").isNull() | F.col("row_no").isNull(), F.monotonically_increasing_id())
     rows = stats.select("shard", "row_no", page_title(F.col("page")).alias("page"), "revs", "links", "avg_tokens", "written_at", own.alias("own"))
     latest = F.max(F.struct("written_at", "page", "revs", "links", "avg_tokens")).alias("x")
-    return rows.groupBy("shard", "row_no", "own").agg(latest).select("shard", "row_no", "x.page", "x.revs", "x.links", "x.avg_tokens")
+    # nearly all rows are unique: combining before the shuffle would sort them once more for nothing
+    return rows.repartition("shard", "row_no", "own").groupBy("shard", "row_no", "own").agg(latest).select("shard", "row_no", "x.page", "x.revs", "x.links", "x.avg_tokens")
 
 
-def page_results(stats: DataFrame) -> DataFrame:
+def page_loads(stats: DataFrame) -> LoadPlan:
+    """The loads of pages as estimated from all rows with revs, redelivered ones included: a pass over two columns."""
+    return load_plan(stats.where("revs is not null").select(page_title(F.col("page")).alias("page")), "page")
+
+
+def page_results(stats: DataFrame, plan: LoadPlan | None = None) -> DataFrame:
     """``page, n_rows, total_revs, largest_revs`` of the rows with a page and revs; no rows for an empty table."""
     rows = statistics_rows(stats).where("revs is not null and page is not null")
-    return balanced_totals(rows, "page", "revs", ["shard", "row_no"]).select("page", "n_rows", F.col("total").alias("total_revs"), F.col("largest").alias("largest_revs"))
+    return balanced_totals(rows, "page", "revs", ["shard", "row_no"], plan or page_loads(stats)).select("page", "n_rows", F.col("total").alias("total_revs"), F.col("largest").alias("largest_revs"))
 
 
 def heavy_pages(stats: DataFrame, least: float = 0.01) -> DataFrame:
     """The pages with at least ``least`` of the rows that have revs, whether or not these have a page."""
     rows = statistics_rows(stats).where("revs is not null")
-    totals = written(balanced_totals(rows, "page", "revs", ["shard", "row_no"]), "totals")
+    totals = written(balanced_totals(rows, "page", "revs", ["shard", "row_no"], page_loads(stats)), "totals")
     everything = totals.agg(F.sum("n_rows")).first()[0] or 0
     return totals.where((F.col("n_rows") >= F.lit(least * everything)) & F.col("page").isNotNull()).select("page")

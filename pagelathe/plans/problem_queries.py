@@ -30,7 +30,8 @@ QUERIES = {
 def row_shares(stats):
     """Each row with revs and a page, beside its page's rows and total: a skewed side joined with one row per page."""
     rows = skew.statistics_rows(stats).where("revs is not null and page is not null").select("shard", "row_no", "page", "revs")
-    return skew.fragment_replicate_join(rows, skew.page_results(stats), "page", ["shard", "row_no"])
+    plan = skew.page_loads(stats)
+    return skew.fragment_replicate_join(rows, skew.page_results(stats, plan), "page", ["shard", "row_no"], plan=plan)
 
 
 #: A title by the title rule, and statistics1 with each named row once (the one written last).

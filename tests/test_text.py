@@ -15,6 +15,13 @@ def test_titles_and_names(spark):
     assert [r[0] for r in column(spark, names, text.param_name)] == ["height_above_sea", "a_b", None, "x"]
 
 
+def test_very_long_runs(spark):
+    rows = ["a" + " " * 200_000 + "b", "_" * 200_000, "x" * 300_000]
+    assert [r[0] for r in column(spark, rows, text.page_title)] == ["A b", None, "X" + "x" * 299_999]
+    assert [r[0] for r in column(spark, rows, text.param_name)] == ["a_b", "_", "x" * 300_000]
+    assert [r[0] for r in column(spark, rows, lambda c: values.int_cell(text.squeeze(c)))] == [None] * 3
+
+
 def test_instants(spark):
     rows = ["2020-01-01T00:00:00Z", "2020-01-01 02:00:00+02:00", "2019-12-31T19:00:00-05:00", "2020-01-01T00:00:00", "nonsense", None, ""]
     got = column(spark, rows, text.instant, lambda c: text.utc_text(text.instant(c)))
