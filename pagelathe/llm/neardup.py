@@ -445,3 +445,33 @@ def all_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     same = copies.select("kind", "first", F.col("id").alias("b")).join(groups, ["kind", "first"]).select("kind", F.explode(side("first")).alias("a"), "b")
     ends = b.unionByName(same).where("a <> b")
     return ends.select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def members(pairs: DataFrame, copies: DataFrame, ids: DataFrame) -> DataFrame:
+    """``kind, id, class_id, links``: the smallest id with an equal set, and how many other classes this one is alike."""
+    ends = pairs.select("kind", F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("kind", "class_id").agg(F.count(F.lit(1)).alias("links"))
+    classed = ids.join(copies, ["kind", "id"], "left").select("kind", "id", F.coalesce("first", "id").alias("class_id"))
+    return classed.join(ends, ["kind", "class_id"], "left").select("kind", "id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def groups(pairs: DataFrame, copies: DataFrame, ids: DataFrame) -> DataFrame:
+    """``kind, id, group_id``: the smallest id that can be reached over pairs and copies.
+
+    Edges are turned to the smallest neighbour in turns from larger and from smaller ends, until none changes; no node's
+    neighbours are ever collected, and the number of turns follows the logarithm of the longest path.
+    """
+    edges = pairs.select("kind", F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
+    edges = written(edges.unionByName(copies.select("kind", F.col("id").alias("u"), F.col("first").alias("v"))).distinct(), "edges")
+    mark = F.sum(F.xxhash64("kind", "u", "v").cast("decimal(38,0)"))
+    before = None
+    while before != (now := tuple(edges.agg(F.count(F.lit(1)), mark).first())):
+        before = now
+        both = edges.unionByName(edges.select("kind", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("kind", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        edges = both.join(least, ["kind", "u"]).where("v > u").select("kind", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = edges.groupBy("kind", "u").agg(F.min("v").alias("m"))
+        turned = edges.join(least, ["kind", "u"])
+        edges = turned.select("kind", "u", F.col("m").alias("v")).unionByName(turned.select("kind", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
+        edges = written(edges, "edges")
+    roots = edges.select("kind", F.col("u").alias("id"), F.col("v").alias("group_id"))
+    return ids.join(roots, ["kind", "id"], "left").select("kind", "id", F.coalesce("group_id", "id").alias("group_id"))

@@ -48,6 +48,8 @@ def p9_levels(spark, d: str) -> DataFrame:
 
 QUERIES = {
     "p6_found": p6_found,
+    "p6_members": lambda s, d: neardup.members(*neardup.near_duplicates(token_tables(s, d), EDITS)).selectExpr(KINDS, "id", "class_id", "links"),
+    "p6_groups": lambda s, d: neardup.groups(*neardup.near_duplicates(token_tables(s, d), EDITS)).selectExpr(KINDS, "id", "group_id"),
     "p7_assignment": p7_assignment,
     "p7_use": p7_use,
     "p8_mixture": lambda s, d: mixed(s, d)[0],
@@ -63,8 +65,16 @@ runs as (select distinct kind, id, t[i] || chr(31) || t[i + 1] || chr(31) || t[i
 sized as (select *, count(*) over (partition by kind, id) as n from runs),
 kept as (select * from sized where n >= 20)"""
 
+ALIKE = """alike as (select kind, id_a, id_b from (select a.kind, a.id as id_a, b.id as id_b, count(*) as common, min(a.n) as na, min(b.n) as nb
+from kept a join kept b on a.kind = b.kind and a.run = b.run and a.id < b.id group by 1, 2, 3) where common >= 0.6 * (na + nb - common))"""
+CLASSES = "classes as (select kind, id, min(id) over (partition by kind, s) as class_id from (select kind, id, md5(string_agg(run, chr(30) order by run)) as s from kept group by kind, id))"
+
 ORACLE = {
-    "p6_found": f"""with {RUNS}
-select kind, id_a, id_b from (select a.kind, a.id as id_a, b.id as id_b, count(*) as common, min(a.n) as na, min(b.n) as nb
-from kept a join kept b on a.kind = b.kind and a.run = b.run and a.id < b.id group by 1, 2, 3) where common >= 0.6 * (na + nb - common)""",
+    "p6_found": f"with {RUNS}, {ALIKE} select kind, id_a, id_b from alike",
+    "p6_members": f"""with {RUNS}, {ALIKE}, {CLASSES}, ways as (select kind, id_a as a, id_b as b from alike union all select kind, id_b, id_a from alike)
+select c.kind, c.id, c.class_id, count(distinct o.class_id) as links from classes c left join ways e on c.kind = e.kind and c.id = e.a
+left join classes o on o.kind = e.kind and o.id = e.b and o.class_id <> c.class_id group by 1, 2, 3""",
+    "p6_groups": f"""with recursive {RUNS}, {ALIKE}, ways as (select kind, id_a as a, id_b as b from alike union all select kind, id_b, id_a from alike),
+reached as (select distinct kind, id as a, id as b from kept union select r.kind, r.a, e.b from reached r join ways e on r.kind = e.kind and r.b = e.a)
+select kind, a as id, min(b) as group_id from reached group by kind, a""",
 }

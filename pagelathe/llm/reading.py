@@ -208,6 +208,20 @@ def demanding_from(grade: np.ndarray, mean: np.ndarray, at: float = DEMANDING) -
     return float((mean[max(cut - 1, 0)] + mean[min(cut, len(mean) - 1)]) / 2)
 
 
+def scale(grade: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and levels of the scale between them: the rising steps closest to the grades (means are sorted).
+
+    Neighbours whose grades fall are pooled; a pool stands at the middle of its means with the middle of its grades.
+    """
+    pools: list[list[float]] = []  # number, sum of means, sum of grades
+    for m, g in zip(mean.tolist(), grade.tolist()):
+        pools.append([1, m, g])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][0] >= pools[-1][2] / pools[-1][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return np.array([p[1] / p[0] for p in pools]), np.array([p[2] / p[0] for p in pools])
+
+
 def reading_levels(documents: DataFrame, labels: DataFrame, graded: int = GRADED, iterations: int = ITERATIONS) -> DataFrame:
     """``doc_id, level, demanding`` of each English document: its level from 1 to 5, and whether it is 4 or 5.
 
@@ -221,15 +235,17 @@ def reading_levels(documents: DataFrame, labels: DataFrame, graded: int = GRADED
     graph = edges(documents, known, words)
     if not len(words):
         return graph.select("doc_id", F.lit(None).cast("double").alias("level"), F.lit(False).alias("demanding"))
-    score, weight, (slope, base) = propagate(graph, len(words), iterations)
-    cut = demanding_from(*graded_means(graph, score, weight))
+    score, weight, _ = propagate(graph, len(words), iterations)
+    graded_by, means = graded_means(graph, score, weight)
+    cut = demanding_from(graded_by, means)
+    at, levels = scale(graded_by, means)
     told = documents.sparkSession.sparkContext.broadcast((score, weight))
 
     def run(batches):
         score, weight = told.value
         for batch in batches:
             _, _, mean, n = document_means(batch.column(1), score, weight)
-            level = pa.array(np.clip(slope * np.nan_to_num(mean) + base, 1, 5), mask=np.isnan(mean))
+            level = pa.array(np.interp(np.nan_to_num(mean), at, levels), mask=np.isnan(mean))
             yield pa.RecordBatch.from_arrays([batch.column(0), level, pa.array(np.nan_to_num(mean, nan=-np.inf) >= cut if np.isfinite(cut) else ~np.isnan(mean) & (cut < 0))], names=["doc_id", "level", "demanding"])
 
     return graph.select("doc_id", "words").mapInArrow(run, "doc_id bigint, level double, demanding boolean")

@@ -131,3 +131,33 @@ def test_sketches_never_exaggerate():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert (s[i] != s[j]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_members_and_groups(spark):
+    rng = random.Random(6)
+    chain = [f"c{i}" for i in range(60)]
+    records = [(i, [*chain[4 * i :], *[f"t{k}" for k in range(4 * i)]]) for i in range(12)]  # each like the next, the ends unlike
+    records += [(100 + i, list(records[3][1])) for i in range(3)] + corpus(rng, 200)[50:]
+    records = list({i: (i, t) for i, t in records}.values())
+    want = brute(records)
+    df = spark.createDataFrame(records, "id bigint, tokens array<string>")
+    found_ = neardup.near_duplicates([df], RULE)
+    root = {r.id: r.id for r in found_[2].collect()}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in want:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert {r.id: r.group_id for r in neardup.groups(*found_).collect()} == {x: top(x) for x in root}
+    sets = {i: frozenset(runs(t)) for i, t in records}
+    classes = {i: min(j for j in root if sets[j] == sets[i]) for i in root}
+    links = {i: len({classes[b if a == i else a] for a, b in want if i in (a, b)} - {classes[i]}) for i in root}
+    assert {r.id: (r.class_id, r.links) for r in neardup.members(*found_).collect()} == {i: (classes[i], links[i]) for i in root}
+
+
+def test_groups_of_nothing(spark):
+    df = spark.createDataFrame([], "id bigint, tokens array<string>")
+    assert neardup.groups(*neardup.near_duplicates([df], RULE)).count() == 0

@@ -62,3 +62,9 @@ def test_cut_parts_the_grades():
     assert 2 < reading.demanding_from(grade, mean) < 3
     assert reading.demanding_from(np.array([1.0, 2.0]), np.array([1.0, 2.0])) == float("inf")
     assert reading.demanding_from(np.array([5.0, 5.0]), np.array([1.0, 2.0])) == float("-inf")
+
+
+def test_scale_rises():
+    at, level = reading.scale(np.array([1, 3, 2, 4, 4, 5.0]), np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6]))
+    assert np.all(np.diff(at) > 0) and np.all(np.diff(level) > 0)
+    assert np.allclose(level, [1, 2.5, 4, 5]) and np.allclose(at, [0.1, 0.25, 0.45, 0.6])
