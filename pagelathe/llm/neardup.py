@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -276,7 +277,24 @@ def stars(ids, n, place, side, start, size, rule: Rule):
 
 
 def whole(ids, side, start, size):
-    """Longer lists as blocks of all their records; those with the same records have the same name."""
+    """Longer lists as blocks of all their records; those with the same records have the same name.
+
+    Lists that are longer than two groups, as their run is more frequent than any batch showed, are cut here.
+    """
+    cut = size > 2 * GROUP
+    for s, m in zip(start[cut], size[cut]):
+        if side[s : s + m].any():  # a pair of groups already: their hashes are even
+            cut[np.flatnonzero(start == s)] = False
+            continue
+        own = ids[s : s + m]
+        name = mix(own.astype(np.uint64) * M1).sum()
+        n = -(-m // GROUP)
+        mine = (mix(own.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+        for other in range(n):
+            low, high = np.minimum(mine, other), np.maximum(mine, other)
+            block = mix(name + (low * n + high).astype(np.uint64) * M1).view(np.int64)
+            yield block, own, np.where(low == high, 0, np.where(mine == low, 1, 2)), *[np.ones(m, np.int64)] * 3
+    start, size = start[~cut], size[~cut]
     if len(start):
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
         tags = mix(ids[at].astype(np.uint64) * M1 + side[at].astype(np.uint64))
@@ -303,7 +321,7 @@ def blocks(posted: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(start, len(keys)))
             small = (size > 1) & (size <= 64)
-            out = [*stars(ids, n, place, side, start[small], size[small], rule), *whole(ids, side, start[size > 64], size[size > 64])]
+            out = chain(stars(ids, n, place, side, start[small], size[small], rule), whole(ids, side, start[size > 64], size[size > 64]))
             for block, member, *more in out:
                 for low in range(0, len(block), 1 << 16):
                     x = slice(low, low + (1 << 16))

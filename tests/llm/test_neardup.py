@@ -80,6 +80,16 @@ def test_frequent_runs_are_cut_into_groups(spark, monkeypatch):
     assert found(spark, records) == brute(records)
 
 
+def test_lists_that_prove_long_are_cut_later(spark, monkeypatch):
+    """The same where no count shows how frequent the runs are."""
+    monkeypatch.setattr(neardup, "GROUP", 40)
+    monkeypatch.setattr(neardup, "LOCAL_COUNT", 10**9)
+    rng = random.Random(3)
+    stock = [[f"s{k}_{i}" for i in range(12)] for k in range(7)]
+    records = [(i, [w for k in rng.sample(range(7), 4) for w in stock[k]]) for i in range(400)]
+    assert found(spark, records) == brute(records)
+
+
 def test_copies_positions_and_nulls(spark):
     rng = random.Random(4)
     base = [f"W{rng.randrange(500)}" for _ in range(40)]
