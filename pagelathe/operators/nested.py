@@ -24,8 +24,8 @@ PAYLOADS = {
     "contributor": "username string, ip string, user_id bigint",
     "text": "role string, text string",
 }
-#: Marks that may stand around a record without being part of it: byte order mark, zero-width characters, NUL.
-INVISIBLE = "\ufeff\u200b\u200c\u200d\u2060\x00"
+#: Marks that may stand around a record without being part of it: control and format characters, byte order marks.
+INVISIBLE = "".join(chr(c) for low, high in ((0, 0x20), (0x7F, 0xA1), (0xAD, 0xAD), (0x61C, 0x61C), (0x180E, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB)) for c in range(low, high + 1) if c != 0xA1)
 
 
 def bare(s: str) -> str:
