@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagelathe.functions.tokendiff import token_diff
 from pagelathe.functions.wikitext import PARSED, parse
 from pagelathe.operators.ordered import HOT_ROWS, with_slots
+from pagelathe.session import written
 
 PARTS = pa.struct([("name", pa.string()), ("text", pa.string()), ("link", pa.string())])
 TOKENS = pa.struct([("text", pa.string()), ("link", pa.string()), ("position", pa.int32())])
@@ -94,10 +95,10 @@ def version_pairs(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def page_diffs(parsed: DataFrame) -> DataFrame:
     """``page, ver1, ver2, diff`` of all consecutive versions that have tokens.
 
-    The pairs are found on the versions alone; the token arrays then move once for each side, keyed by page and version,
-    so that a page with many versions is spread over tasks.
+    The token arrays are written once, as three steps read them. Pairs are found on the versions alone; the arrays then
+    move once for each side, keyed by page and version, so that a page with many versions is spread over tasks.
     """
-    sequences = token_sequences(parsed)
+    sequences = written(token_sequences(parsed), "sequences")
     pairs = version_pairs(sequences)
     old = sequences.select("page", F.col("ver").alias("ver1"), F.col("tokens").alias("old"), "positions")
     new = sequences.select("page", F.col("ver").alias("ver2"), F.col("tokens").alias("new"))

@@ -13,7 +13,7 @@ from pagelathe.functions.text import slug
 from pagelathe.functions.wikitext import MEDIA
 from pagelathe.operators import revisions as R
 from pagelathe.operators import statistics as S
-from pagelathe.session import table
+from pagelathe.session import table, written
 from pagelathe.sources import dumps, files, selection
 
 
@@ -51,14 +51,14 @@ def merged(s: SparkSession, d: str, how: str = "full") -> DataFrame:
 
 
 def ratios(s, d):
-    data = merged(s, d).withColumn("rev_inss", F.col("revs") + F.col("inss")).withColumn("rev_dels", F.col("revs") + F.col("dels"))
+    data = written(merged(s, d), "merged").withColumn("rev_inss", F.col("revs") + F.col("inss")).withColumn("rev_dels", F.col("revs") + F.col("dels"))
     kinds = (("insertion", "revs", "rev_inss", "inss <> 0"), ("deletion", "revs", "rev_dels", "dels <> 0"), ("removed", "removed_tokens", "added_tokens", "true"))
     parts = [S.ratio_histogram(data.where(w), n, m).select(F.lit(k).alias("kind"), "bin", "n") for k, n, m, w in kinds]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def bins(s, d):
-    data = firsts(s, d)
+    data = written(firsts(s, d), "firsts")
     parts = [S.bin_counts(data, c).select(F.lit(c).alias("value"), "bin", "label", "lo", "hi", "n") for c in S.EDGES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
