@@ -39,3 +39,34 @@ def with_slots(df: DataFrame, key: str, order: str, hot_rows: int = HOT_ROWS, sl
         "slot", F.coalesce(F.expr(f"size(filter(array_distinct(cuts), c -> c < {order}))"), F.lit(0))
     )
     return slotted.drop("cuts"), keys.select(key)
+
+
+#: Order values of a hot key that are looked at to cut it, about; characters of a cut.
+SAMPLE = 4096
+CUT_CHARS = 64
+
+
+def with_text_slots(df: DataFrame, key: str, order: str, hot_rows: int = HOT_ROWS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame | None]:
+    """``with_slots`` for an order of strings, whose distinct values each key has once: slots follow the string order.
+
+    The cuts are quantiles of about ``SAMPLE`` values of each hot key, chosen by hash. Any cuts give right slots, so a
+    long value may be cut off; a hot key without a sample is left whole.
+    """
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows).orderBy(F.desc("n"), key).limit(MOST_HOT).collect()
+    if not counted:
+        return df.withColumn("slot", F.lit(0)), None
+    counts = F.broadcast(df.sparkSession.createDataFrame(counted, f"{key} string, n bigint"))
+    sample = df.join(counts, key).where(F.pmod(F.xxhash64(order), F.ceil(F.col("n") / SAMPLE).cast("bigint")) == 0)
+    hot = (
+        sample.groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.substring(order, 1, CUT_CHARS))).alias("seen"))
+        .select(key, F.expr(f"transform(sequence(1, {slots - 1}), i -> seen[cast(i * size(seen) div {slots} as int)])").alias("cuts"))
+        .collect()
+    )
+    if not hot:
+        return df.withColumn("slot", F.lit(0)), None
+    keys = df.sparkSession.createDataFrame(hot, f"{key} string, cuts array<string>")
+    slotted = df.join(F.broadcast(keys), key, "left").withColumn(
+        "slot", F.coalesce(F.expr(f"size(filter(array_distinct(cuts), c -> c < {order}))"), F.lit(0))
+    )
+    return slotted.drop("cuts"), keys.select(key)

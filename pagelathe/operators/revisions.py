@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions.tokendiff import token_diff
 from pagelathe.functions.wikitext import PARSED, parse
-from pagelathe.operators.ordered import HOT_ROWS, with_slots
+from pagelathe.operators.ordered import HOT_ROWS, with_text_slots
 from pagelathe.session import written
 
 PARTS = pa.struct([("name", pa.string()), ("text", pa.string()), ("link", pa.string())])
@@ -77,10 +77,12 @@ def version_index(rows: DataFrame) -> DataFrame:
 
 
 def version_pairs(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``page, ver1, ver2``: consecutive versions of each page. Hot pages are cut into slots, joined over their edges."""
+    """``page, ver1, ver2``: consecutive versions of each page, in string order.
+
+    Hot pages are cut into slots of the same order, joined over their edges.
+    """
     versions = rows.where("page is not null and ver is not null").select("page", "ver").distinct()
-    numbered = versions.withColumn("at", F.xxhash64("ver") * 0 + F.unix_micros(F.col("ver").try_cast("timestamp")))
-    slotted, hot = with_slots(numbered.withColumn("at", F.coalesce("at", F.lit(0).cast("bigint"))), "page", "at", hot_rows)
+    slotted, hot = with_text_slots(versions, "page", "ver", hot_rows)
     if hot is None:
         pairs = versions.withColumn("ver2", F.lead("ver").over(Window.partitionBy("page").orderBy("ver")))
         return pairs.where("ver2 is not null").select("page", F.col("ver").alias("ver1"), "ver2")

@@ -95,6 +95,19 @@ def test_hot_pages_are_cut_without_a_trace(spark):
     assert len(cut) == len(set(cut)) and set(cut) == whole
 
 
+def test_hot_pages_are_cut_in_string_order(spark):
+    rng = random.Random(17)
+    vers = set()
+    for _ in range(900):
+        day, clock = f"2020-01-0{rng.randint(1, 9)}", f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:{rng.randint(0, 59):02}"
+        vers.add(rng.choice([f"{day}T{clock}Z", f"{day}T{clock}Z", f"{day} {clock}", f"{day}T{clock}+05:00", f"{day}T{clock}-0800", f"odd {clock}"]))
+    vers |= {"2020-01-05T00:00:00Z" + "x" * 100 + str(i) for i in range(9)}
+    df = texts(spark, [(p, v, "t") for v in vers for p in ("Hot", "Warm")] + [("Cold", v, "t") for v in list(vers)[:20]])
+    cut = [tuple(r) for r in R.version_pairs(df, hot_rows=50).collect()]
+    ordered = lambda p, x: {(p, *both) for both in zip(sorted(x), sorted(x)[1:])}
+    assert len(cut) == len(set(cut)) and set(cut) == ordered("Hot", vers) | ordered("Warm", vers) | ordered("Cold", list(vers)[:20])
+
+
 def test_merge_bins_and_summary(spark):
     first = spark.createDataFrame([("a", 1, 2, 3), ("c", 101, 0, 6000)], "page string, revs bigint, links bigint, avg_tokens bigint")
     second = spark.createDataFrame([("a", 1, 0, 4, 0), ("b", 2, 2, 0, 5)], "page string, inss bigint, dels bigint, added_tokens bigint, removed_tokens bigint")
