@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.session import scratch
+from pagelathe.sources.dumps import PAGE
 
 TAGGED = "tag string, pk string, parent string, page_id bigint, rev_id bigint, payload string"
 #: Schemas of the payloads by tag.
@@ -94,14 +95,25 @@ def roots(v) -> Iterator[dict]:
                 stack += [x[k] for k in reversed(list(x)) if isinstance(x[k], (dict, list))]
 
 
-def visit(body: str | None) -> Iterator[tuple]:
-    """Tagged rows of one record; none if it isn't complete JSON."""
+def page_objects(body: str | None) -> list[dict]:
+    """Page objects of one record; none if it isn't complete JSON."""
     try:
-        record = json.loads(bare(body or ""))
+        return list(roots(json.loads(bare(body or ""))))
     except (ValueError, RecursionError):
-        return
+        return []
+
+
+def person(rev: dict) -> dict:
+    """A revision's contributor as an object, whatever its shape."""
+    who = rev.get("contributor")
+    who = who[0] if isinstance(who, list) and who else who
+    return who if isinstance(who, dict) else {"username": who}
+
+
+def visit(body: str | None) -> Iterator[tuple]:
+    """Tagged rows of one record; none if it isn't complete JSON."""
     pack = lambda **x: sound(json.dumps({k: v for k, v in x.items() if v is not None}, ensure_ascii=False))
-    for page in roots(record):
+    for page in page_objects(body):
         page_id = whole(page.get("id"))
         page_key = f"p{page_id}"
         yield "page", page_key, None, page_id, None, pack(title=scalar(page.get("title")), ns=whole(page.get("ns")))
@@ -109,9 +121,7 @@ def visit(body: str | None) -> Iterator[tuple]:
             rev_id = whole(rev.get("id"))
             key = f"{page_key}/r{rev_id}"
             yield "revision", key, page_key, page_id, rev_id, pack(parentid=whole(rev.get("parentid")), timestamp=scalar(rev.get("timestamp")), format=scalar(rev.get("format")), comment=scalar(rev.get("comment")))
-            who = rev.get("contributor")
-            who = who[0] if isinstance(who, list) and who else who
-            who = who if isinstance(who, dict) else {"username": who}
+            who = person(rev)
             name, ip = scalar(who.get("username")), scalar(who.get("ip"))
             yield "contributor", f"{key}/c", key, page_id, rev_id, pack(username=name and name.strip(), ip=ip and ip.strip(), user_id=whole(who.get("id")))
             own = scalar(rev.get("text"))
@@ -123,6 +133,37 @@ def visit(body: str | None) -> Iterator[tuple]:
                     yield "text", f"{key}/t:{role}", key, page_id, rev_id, pack(role=role, text=text)
 
 
+def page_records(raw: DataFrame) -> DataFrame:
+    """``title, revision`` (as ``dumps.PAGE``) of every page in ``raw.body``, wrapped and shaped in any way, repeats included.
+
+    Revisions are in document order. A page without a title has a null one, a page without revisions an empty list.
+    """
+    revision = pa.struct([("timestamp", pa.string()), ("contributor", pa.struct([("username", pa.string())])), ("format", pa.string()), ("text", pa.string())])
+    schema = pa.schema([("title", pa.string()), ("revision", pa.list_(revision))])
+
+    def text(v) -> str | None:
+        t = scalar(v)
+        return None if t is None else sound(t)
+
+    def row(page: dict) -> dict:
+        revs = each(page.get("revision"), "revision")
+        return {"title": text(page.get("title")), "revision": [{"timestamp": text(r.get("timestamp")), "contributor": {"username": text(person(r).get("username"))}, "format": text(r.get("format")), "text": text(r.get("text"))} for r in revs]}
+
+    def run(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for body in batch.column(0).to_pylist():
+                rows += map(row, page_objects(body))
+                size += len(body)
+                if size > 8_000_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return raw.select("body").where("body is not null").mapInArrow(run, PAGE)
+
+
 def tagged_rows(raw: DataFrame) -> DataFrame:
     """One pass over ``raw.body``: the tagged rows of all records, repeats included."""
     schema = pa.schema([("tag", pa.string()), ("pk", pa.string()), ("parent", pa.string()), ("page_id", pa.int64()), ("rev_id", pa.int64()), ("payload", pa.string())])

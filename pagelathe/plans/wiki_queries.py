@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions.text import slug
 from pagelathe.functions.wikitext import MEDIA
+from pagelathe.operators import nested
 from pagelathe.operators import revisions as R
 from pagelathe.operators import statistics as S
 from pagelathe.session import table, written
@@ -90,9 +91,8 @@ def roundtrip(s, d):
 
 
 def stopped(s, d):
-    """Revisions of the records of raw_pages that are a page by themselves, up to the first in another format."""
-    pages = table(s, d, "raw_pages").select(F.from_json("body", dumps.PAGE).alias("x")).select("x.title", "x.revision").where("title is not null")
-    return dumps.kept_revisions(pages).select("page", "ver", "contributor", "rev_ord")
+    """Revisions of every page of raw_pages, in any wrapping and shape, up to the page's first in another format; repeats included."""
+    return dumps.kept_revisions(nested.page_records(table(s, d, "raw_pages"))).select("page", "ver", "contributor", "rev_ord")
 
 
 QUERIES = {

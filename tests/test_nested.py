@@ -1,6 +1,9 @@
 import json
 
+from pyspark.sql import functions as F
+
 from pagelathe.operators import nested
+from pagelathe.plans import wiki_queries
 
 
 def bodies(spark, rows):
@@ -49,3 +52,23 @@ def test_flat_tables_keep_their_links(spark):
     assert {r.parent for r in revisions} == {"p1"} and {r.rev_id for r in revisions} == {7, 8, 9}
     assert {c.parent for c in people} == {r.pk for r in revisions} and {c.contributor for c in people} == {"Ann"}
     assert {(t.parent, len(t.text)) for t in texts} == {("p1/r7", 5), ("p1/r8", len(long))}
+
+
+def test_format_truncate_reads_every_page(spark, tmp_path):
+    def rev(i, form="text/x-wiki", **more):
+        return {"id": i, "timestamp": f"v{i}", "format": form, "contributor": {"username": f" u{i} "}, "text": {"#text": "t"}, **more}
+
+    rows = [
+        {"title": "flat", "revision": [rev(1), rev(2, "application/json"), rev(3)]},
+        {"title": "single", "revision": rev(4)},
+        {"page": {"title": "wrapped", "revision": [rev(5, contributor="Ann"), rev(6, {"#text": " text/x-wiki\n"})]}},
+        {"mediawiki": {"siteinfo": {"base": None}, "page": [{"title": {"#text": "first"}, "revision": [rev(7)]}, {"title": "second", "revision": rev(8, contributor=[{"username": {"#text": "Bo"}}])}]}},
+        [{"title": "listed", "revision": [rev(9, contributor={"ip": "1.2.3.4"}), rev(10, None), rev(11)]}, {"title": "bare"}],
+        {"ns": 0, "revision": [rev(12)]},
+    ]
+    bodies(spark, [*map(json.dumps, rows), "", None, json.dumps(rows[0])[:-1]]).write.parquet(str(tmp_path / "raw_pages.parquet"))
+    got = sorted(tuple(r) for r in wiki_queries.QUERIES["format_truncate"](spark, str(tmp_path)).select(F.coalesce("page", F.lit("")), "ver", "contributor", "rev_ord").collect())
+    assert got == [
+        ("", "v12", "u12", 0), ("first", "v7", "u7", 0), ("flat", "v1", "u1", 0), ("listed", "v9", None, 0), ("second", "v8", "Bo", 0),
+        ("single", "v4", "u4", 0), ("wrapped", "v5", "Ann", 0), ("wrapped", "v6", "u6", 1),
+    ]
