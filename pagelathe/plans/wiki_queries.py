@@ -33,13 +33,18 @@ def all_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def texts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("page is not null and ver is not null").select("page", "ver", F.lit(None).cast("string").alias("contributor"), "text")
+    return table(s, d, "documents").select("page", "ver", F.lit(None).cast("string").alias("contributor"), "text")
+
+
+def versioned(s: SparkSession, d: str) -> DataFrame:
+    """The texts that can be compared with another version: those with page and version."""
+    return texts(s, d).where("page is not null and ver is not null")
 
 
 def word_pages(s: SparkSession, d: str) -> DataFrame:
-    """The texts as plain words: no markup is read, so everything stays in the JVM."""
+    """The versioned texts as plain words: no markup is read, so everything stays in the JVM."""
     words = F.expr(r"transform(regexp_extract_all(text, '([\\p{L}\\p{N}_]+)', 1), (w, i) -> struct(w as text, cast(null as string) as link, i + 1 as position))")
-    return texts(s, d).select("page", "ver", words.alias("unstructured_part"))
+    return versioned(s, d).select("page", "ver", words.alias("unstructured_part"))
 
 
 def firsts(s: SparkSession, d: str) -> DataFrame:
@@ -110,7 +115,7 @@ QUERIES = {
     "version_pairs_selfjoin": lambda s, d: paired(R.version_index(box_pages(s, d).where("page is not null and ver is not null"))),
     "ts_set": lambda s, d: box_pages(s, d).groupBy("page").agg(F.array_join(F.array_sort(F.collect_set("ver")), "|").alias("vers")),
     "token_seq": lambda s, d: R.token_sequences(token_pages(s, d)).select("page", "ver", F.md5(F.array_join("tokens", " ")).alias("tokens")),
-    "diff_ops": lambda s, d: R.page_diffs(R.parsed_pages(texts(s, d))).where("size(diff) > 0"),
+    "diff_ops": lambda s, d: R.page_diffs(R.parsed_pages(versioned(s, d))).where("size(diff) > 0"),
     "diff_net_tokens": net_tokens,
     "nonempty_diff": lambda s, d: table(s, d, "page_diffs").where("size(diff) > 0").select("diff_id", "page", "ver1", "ver2", F.size("diff").cast("bigint").alias("ops")),
     "edit_counts": lambda s, d: R.edit_counts(table(s, d, "page_diffs")),

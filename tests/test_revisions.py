@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagelathe.functions.tokendiff import token_diff, token_ops
 from pagelathe.operators import revisions as R
 from pagelathe.operators import statistics as S
+from pagelathe.plans.wiki_queries import QUERIES
 
 GOLDEN = [
     ("Trento is a city", "Trento is the city", [("DEL", 3, "a"), ("INS", 3, "the")]),
@@ -108,6 +109,15 @@ def test_hot_pages_are_cut_in_string_order(spark):
     assert len(cut) == len(set(cut)) and set(cut) == ordered("Hot", vers) | ordered("Warm", vers) | ordered("Cold", list(vers)[:20])
 
 
+def test_documents_without_page_or_version_are_parsed(spark, tmp_path):
+    rows = [("P", "1", "a b"), ("P", None, "c [[D]]"), (None, "2", "e"), ("P", "3", "a f")]
+    spark.createDataFrame(rows, "page string, ver string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda q: QUERIES[q](spark, str(tmp_path)).collect()
+    assert {(r.page, r.ver, r.token) for r in run("wikitext_tokens")} == {("P", "1", "a"), ("P", "1", "b"), ("P", None, "c"), ("P", None, "[E]D"), (None, "2", "e"), ("P", "3", "a"), ("P", "3", "f")}
+    assert {(r.page, r.revs, r.links, r.avg_tokens) for r in run("wikitext_stats1")} == {("P", 3, 1, 2), (None, 1, 0, 1)}
+    assert [(r.page, r.ver1, r.ver2) for r in run("diff_ops")] == [("P", "1", "3")]
+
+
 def test_merge_bins_and_summary(spark):
     first = spark.createDataFrame([("a", 1, 2, 3), ("c", 101, 0, 6000)], "page string, revs bigint, links bigint, avg_tokens bigint")
     second = spark.createDataFrame([("a", 1, 0, 4, 0), ("b", 2, 2, 0, 5)], "page string, inss bigint, dels bigint, added_tokens bigint, removed_tokens bigint")
