@@ -7,8 +7,9 @@ only its own partition and gives the payload its schema.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -110,27 +111,47 @@ def person(rev: dict) -> dict:
     return who if isinstance(who, dict) else {"username": who}
 
 
+def pack(**x) -> str:
+    return sound(json.dumps({k: v for k, v in x.items() if v is not None}, ensure_ascii=False))
+
+
+def named(prefix: str, number: int | None, content: Callable[[], list]) -> str:
+    """A key: the number, or where it is missing a hash of the content, so that only what is delivered again is the same."""
+    return f"{prefix}{number}" if number is not None else f"{prefix}#{hashlib.md5(json.dumps(content()).encode()).hexdigest()}"  # noqa: S324
+
+
+def revision_rows(rev: dict) -> list[tuple[str, str, str]]:
+    """Tag, end of the key and payload of a revision, its contributor and its texts."""
+    who = person(rev)
+    name, ip = scalar(who.get("username")), scalar(who.get("ip"))
+    rows = [
+        ("revision", "", pack(parentid=whole(rev.get("parentid")), timestamp=scalar(rev.get("timestamp")), format=scalar(rev.get("format")), comment=scalar(rev.get("comment")))),
+        ("contributor", "/c", pack(username=name and name.strip(), ip=ip and ip.strip(), user_id=whole(who.get("id")))),
+    ]
+    own = scalar(rev.get("text"))
+    if own and own.strip():
+        rows.append(("text", "/t:main", pack(role="main", text=own)))
+    for slot in each(rev.get("slots"), "slot"):
+        text, role = scalar(slot.get("text")), sound(scalar(slot.get("role")) or "").strip()
+        if text and text.strip():
+            rows.append(("text", f"/t:{role}", pack(role=role, text=text)))
+    return rows
+
+
 def visit(body: str | None) -> Iterator[tuple]:
     """Tagged rows of one record; none if it isn't complete JSON."""
-    pack = lambda **x: sound(json.dumps({k: v for k, v in x.items() if v is not None}, ensure_ascii=False))
     for page in page_objects(body):
-        page_id = whole(page.get("id"))
-        page_key = f"p{page_id}"
-        yield "page", page_key, None, page_id, None, pack(title=scalar(page.get("title")), ns=whole(page.get("ns")))
-        for rev in each(page.get("revision"), "revision"):
-            rev_id = whole(rev.get("id"))
-            key = f"{page_key}/r{rev_id}"
-            yield "revision", key, page_key, page_id, rev_id, pack(parentid=whole(rev.get("parentid")), timestamp=scalar(rev.get("timestamp")), format=scalar(rev.get("format")), comment=scalar(rev.get("comment")))
-            who = person(rev)
-            name, ip = scalar(who.get("username")), scalar(who.get("ip"))
-            yield "contributor", f"{key}/c", key, page_id, rev_id, pack(username=name and name.strip(), ip=ip and ip.strip(), user_id=whole(who.get("id")))
-            own = scalar(rev.get("text"))
-            if own and own.strip():
-                yield "text", f"{key}/t:main", key, page_id, rev_id, pack(role="main", text=own)
-            for slot in each(rev.get("slots"), "slot"):
-                text, role = scalar(slot.get("text")), sound(scalar(slot.get("role")) or "").strip()
-                if text and text.strip():
-                    yield "text", f"{key}/t:{role}", key, page_id, rev_id, pack(role=role, text=text)
+        page_id, title = whole(page.get("id")), scalar(page.get("title"))
+        payload = pack(title=title, ns=whole(page.get("ns")))
+        revs = ((whole(rev.get("id")), revision_rows(rev)) for rev in each(page.get("revision"), "revision"))
+        if page_id is None and title is None:
+            revs = list(revs)
+        page_key = named("p", page_id, lambda: [payload] if title is not None else [payload, revs])  # noqa: B023
+        yield "page", page_key, None, page_id, None, payload
+        for rev_id, rows in revs:
+            key = named(f"{page_key}/r", rev_id, lambda: [page_key, sorted(set(rows))])  # noqa: B023
+            for tag, end, payload in rows:
+                yield tag, key + end, page_key if tag == "revision" else key, page_id, rev_id, payload
 
 
 def page_records(raw: DataFrame) -> DataFrame:
@@ -230,7 +251,8 @@ def flatten_pages(raw: DataFrame) -> FlatTables:
     """Write the tagged rows of ``raw.body`` to the shared folder, partitioned by tag, and give the flat tables.
 
     Null, damaged, empty and non-object bodies give no rows. Members may be missing or come in any shape (text, object
-    with ``#text``, list); a page or revision without an id has a null id and the key of all such. Texts are kept whole.
+    with ``#text``, list). A page without an id has a null id and a key by its title and namespace (without a title, by all it holds), a
+    revision without one a key by its page's key and all it holds. Texts are kept whole.
     """
     path = scratch(raw.sparkSession, "tagged")
     tagged_rows(raw).write.partitionBy("tag").option("compression", "zstd").parquet(path)

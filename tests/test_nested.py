@@ -72,3 +72,24 @@ def test_format_truncate_reads_every_page(spark, tmp_path):
         ("", "v12", "u12", 0), ("first", "v7", "u7", 0), ("flat", "v1", "u1", 0), ("listed", "v9", None, 0), ("second", "v8", "Bo", 0),
         ("single", "v4", "u4", 0), ("wrapped", "v5", "Ann", 0), ("wrapped", "v6", "u6", 1),
     ]
+
+
+def test_pages_and_revisions_without_id_are_kept_apart(spark):
+    def rev(n, **more):
+        return {"timestamp": f"2020-01-0{n}T00:00:00Z", "contributor": {"username": f"u{n}"}, "text": f"t{n}", **more}
+
+    rows = [
+        {"id": 1, "title": "A", "revision": [rev(1), rev(2), rev(2, text="other")]},
+        {"page": {"id": "1", "title": {"#text": "A"}, "revision": [rev(1, text=["t1"]), rev(2)]}},
+        {"title": "B", "revision": [rev(1), rev(3, id=7)]},
+        {"title": "B", "revision": rev(3, id="7")},
+        {"title": "C", "revision": rev(1)},
+        {"ns": 0, "revision": rev(4)},
+        {"ns": 0, "revision": rev(5)},
+    ]
+    flat = nested.flatten_pages(bodies(spark, list(map(json.dumps, rows))))
+    assert sorted(p.title or "" for p in flat.pages().collect()) == ["", "", "A", "B", "C"]
+    people = {c.pk.removesuffix("/c"): c.contributor for c in flat.contributors().collect()}
+    assert sorted(people.values()) == ["u1", "u1", "u1", "u2", "u2", "u3", "u4", "u5"]
+    assert {r.pk for r in flat.revisions().collect()} == set(people) == {t.parent for t in flat.texts().collect()}
+    assert sorted((str(r.page_id), str(r.rev_id), r.contributor) for r in flat.found().collect()) == sorted([("1", "None", u) for u in ("u1", "u2", "u2")] + [("None", "None", u) for u in ("u1", "u1", "u4", "u5")] + [("None", "7", "u3")])
