@@ -51,6 +51,13 @@ def signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def identified(files: DataFrame) -> DataFrame:
+    """``file_id, written_at, body``: files without an id get a negative one from their body, equal bodies once (the one written last)."""
+    own = F.xxhash64("body").bitwiseOR(F.lit(-(1 << 63)))
+    unnamed = files.where("file_id is null and body is not null").groupBy("body").agg(F.max("written_at").alias("written_at"))
+    return files.where("file_id is not null").select("file_id", "written_at", "body").unionByName(unnamed.select(own.alias("file_id"), "written_at", "body"))
+
+
 def found_records(files: DataFrame) -> DataFrame:
     """One row per delivery of a record: ``file_id, written_at, line, k1, k2, n_bytes, h``; k1 and k2 name the record, h is its text's hash."""
     schema = pa.schema([("file_id", pa.int64()), ("written_at", pa.timestamp("us", "UTC")), ("line", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int32()), ("h", pa.int64())])
@@ -138,13 +145,17 @@ def packed(plan: DataFrame, target_bytes: int) -> tuple[DataFrame, int]:
 def compact(files: DataFrame, out: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Rewrite the records of ``files`` to the folder ``out``, one file per bin; the committed table ``bin, title, ver, record``.
 
-    files: ``file_id`` (unique), ``written_at``, ``body``; other columns are ignored. Null and empty bodies, damaged
+    files: ``file_id`` (unique or null), ``written_at``, ``body``; other columns are ignored. Null and empty bodies, damaged
     lines and lines that aren't an object with a title and a timestamp hold no record; an empty table commits no rows.
     Texts of any length are kept whole; a file larger than the target is a bin of its own. Raises if row counts or
     checksums of the rewritten bins differ from the manifest's, or if ``out`` exists; then nothing is committed.
     """
     spark = files.sparkSession
-    plan, shards = packed(manifest(files), target_bytes)
+    files = identified(files)
+    kept = manifest(files)
+    plan, shards = packed(kept, target_bytes)
+    if totals(plan) != totals(kept):
+        raise RuntimeError(f"the plan differs from the manifest: {totals(plan)}, {totals(kept)}")
     staging = scratch(spark, "staging")
     rewritten(files, plan, shards).write.partitionBy("bin").option("compression", "zstd").parquet(staging)
     rows = spark.read.schema("title string, ver string, record string, bin int").parquet(staging)
@@ -178,6 +189,11 @@ def rewritten(files: DataFrame, plan: DataFrame, shards: int) -> DataFrame:
     return both.mapInArrow(run, "title string, ver string, record string, bin int")
 
 
+def totals(plan: DataFrame) -> tuple:
+    """Records and checksum of a manifest or plan."""
+    return tuple(plan.agg(F.sum("n_records"), F.sum("high"), F.sum("low")).first())
+
+
 def verify(plan: DataFrame, rows: DataFrame) -> None:
     """Raise unless each bin has the rows and the checksum that the plan says."""
     h = F.xxhash64("record")

@@ -69,3 +69,11 @@ def test_wrong_checksums_are_found(spark):
 
 def test_empty(spark):
     assert compaction.compacted(files(spark, [])).count() == 0
+
+
+def test_files_without_an_id_keep_their_records(spark):
+    bodies = [line("A", "1") + "\n" + line("B", "1"), line("C", "1"), line("C", "1"), "\n" + line("A", "1", more=1), line("D", "1"), None]
+    rows = files(spark, bodies).selectExpr("if(file_id < 4 or file_id = 5, null, file_id) as file_id", "timestamp_seconds(file_id) as written_at", "body")
+    got = compaction.compacted(rows).select("title", "ver", "record").collect()
+    assert sorted((r.title, r.ver) for r in got) == [("A", "1"), ("B", "1"), ("C", "1"), ("D", "1")]
+    assert next(r.record for r in got if r.title == "A") == line("A", "1", more=1)
