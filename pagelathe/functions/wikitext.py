@@ -2,7 +2,8 @@
 
 The text is scanned twice. The first scan pairs what encloses other markup (templates, arguments, links, tags); what has
 no partner stays text. The second walks the pairs from the outside in and gives tokens straight away; there is no tree.
-Quotes, headings and list marks need no rule of their own, as words are split at them in any case.
+Quotes, headings and list marks need no rule of their own, as words are split at them in any case. Nothing recurses and
+no mark looks further than the next one of its kind twice, so that markup of any depth takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from html.entities import name2codepoint
 MEDIA = ("File:", "Media:", "Audio:", "Video:", ":File:", ":Media:", ":Audio:", ":Video:")
 MAGIC = {"lc", "lcfirst", "uc", "ucfirst", "formatnum", "#dateformat", "#formatdate"}
 VERBATIM = {"categorytree", "ce", "chem", "gallery", "graph", "hiero", "imagemap", "inputbox", "math", "nowiki", "pre", "score", "section", "source", "syntaxhighlight", "templatedata", "timeline"}
-SINGLE = {"br", "hr", "wbr", "img", "meta", "link", "li", "dt", "dd", "th", "td", "tr"}
+SINGLE = {"br", "hr", "wbr", "img", "meta", "link"}
 SCHEMES = "bitcoin:|ftp://|ftps://|geo:|git://|gopher://|http://|https://|irc://|ircs://|magnet:|mailto:|mms://|news:|nntp://|redis://|sftp://|sip:|sips:|sms:|ssh://|svn://|tel:|telnet://|urn:|worldwind://|xmpp:|//"
 
 WORD = re.compile(r"\w+")
 MARK = re.compile(r"<!--|\{\{+|\}\}+|\[\[|\]\]|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|\[(?=" + SCHEMES + r")|&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|^[ \t:]*\{\|", re.I | re.M)
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*?(/?)>")
 EXTERNAL = re.compile(r"\[((?:" + SCHEMES + r")[^\s\[\]<>\"]+)", re.I)
-BAD_TITLE = re.compile(r"[\n\[\]{}<>]")
+TITLE_END = re.compile(r"[|\n\[\]{}<>]")
 TABLE_END = re.compile(r"^[ \t:]*\|\}(?!\})", re.M)
+SQUARE = re.compile(r"\[\[|\]")
+COMMENT_END = re.compile("-->")
+VERBATIM_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in sorted(VERBATIM)}
 LINE = re.compile(r"^.*$", re.M)
 
 #: Spark type of a parsed text.
@@ -61,19 +65,29 @@ def spans(text: str) -> dict[int, Span]:
         while len(stack) > k:
             places[stack.pop()[0]].pop()
 
+    nexts: dict[str, tuple[int, int] | None] = {}  # the next end of comments, tables and each verbatim tag, None if there is no more
+
+    def following(kind: str, end: re.Pattern) -> tuple[int, int] | None:
+        known = nexts.get(kind, (-1, -1))
+        if known is not None and known[0] < at:
+            m = end.search(text, at)
+            known = nexts[kind] = m.span() if m else None
+        return known
+
+    brackets = Brackets(text)
     at = 0
     while m := MARK.search(text, at):
         start, mark = m.start(), m.group()
         at = m.end()
         if mark == "<!--":
-            end = text.find("-->", at)
-            if end >= 0:
-                found[start] = ("comment", at, end, end + 3)
-                at = end + 3
+            end = following("<!--", COMMENT_END)
+            if end:
+                found[start] = ("comment", at, *end)
+                at = end[1]
         elif mark[-1] == "|":
-            end = TABLE_END.search(text, at)
+            end = following("{|", TABLE_END)
             if end:
-                found[at - 2] = ("table", at, end.start(), end.end())
+                found[at - 2] = ("table", at, *end)
         elif mark[0] == "{":
             push("{", start, len(mark), at)
         elif mark[0] == "}":
@@ -95,7 +109,7 @@ def spans(text: str) -> dict[int, Span]:
                 drop(k)
         elif mark[0] == "[":
             x = EXTERNAL.match(text, start)
-            end = closing(text, x.end(1)) if x else None
+            end = brackets.closing(x.end(1)) if x else None
             if end is not None:
                 found[start] = ("external", x.end(1), end, end + 1)
         elif mark[0] == "&":
@@ -104,7 +118,7 @@ def spans(text: str) -> dict[int, Span]:
         elif mark[0] == "<":
             closes, name, ends = TAG.match(mark).groups()
             name = name.lower()
-            if ends or (name in SINGLE and not closes and name in ("br", "hr", "wbr", "img", "meta", "link")):
+            if ends or (name in SINGLE and not closes):
                 found[start] = ("single", start, at, at)
             elif closes:
                 k = last(f"<{name}")
@@ -112,52 +126,114 @@ def spans(text: str) -> dict[int, Span]:
                     found[stack[k][1]] = ("tag", stack[k][3], start, at)
                     drop(k)
             elif name in VERBATIM:
-                end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
+                end = following(name, VERBATIM_END[name])
                 if end:
-                    found[start] = ("verbatim", at, end.start(), end.end())
-                    at = end.end()
+                    found[start] = ("verbatim", at, *end)
+                    at = end[1]
             else:
                 push(f"<{name}", start, 0, at)
     return found
 
 
-def closing(text: str, at: int) -> int | None:
-    """The bracket that ends an external link, on the same line, past links within."""
-    line = text.find("\n", at)
-    line = len(text) if line < 0 else line
-    depth = 0
-    while at < line:
-        if text.startswith("[[", at):
-            depth, at = depth + 1, at + 2
-        elif depth and text.startswith("]]", at):
-            depth, at = depth - 1, at + 2
-        elif text[at] == "]" and not depth:
-            return at
-        else:
-            at += 1
-    return None
+class Brackets:
+    """The bracket that ends an external link: the next single one on its line that isn't within a link."""
+
+    def __init__(self, text: str):
+        self.text, self.line = text, (1, 0)
+
+    def read(self, at: int) -> None:
+        """Take in the line of a place: its marks, and for each link's opening mark the number of the mark after the link."""
+        low, high = self.text.rfind("\n", 0, at) + 1, self.text.find("\n", at)
+        self.line = low, len(self.text) if high < 0 else high
+        self.marks = [m.start() for m in SQUARE.finditer(self.text, *self.line)]
+        self.after: dict[int, int] = {}
+        self.ends: dict[int, int | None] = {}
+        opened, i = [], 0
+        while i < len(self.marks):
+            if self.text[self.marks[i]] == "[":
+                opened.append(i)
+            elif opened and self.text.startswith("]]", self.marks[i]):
+                i += 1
+                self.after[opened.pop()] = i + 1
+            i += 1
+
+    def closing(self, at: int) -> int | None:
+        if not self.line[0] <= at <= self.line[1]:
+            self.read(at)
+        i: int | None = bisect_left(self.marks, at)
+        passed, end = [], None
+        while i is not None and i < len(self.marks):
+            if i in self.ends:
+                end = self.ends[i]
+                break
+            passed.append(i)
+            if self.text[self.marks[i]] == "]":
+                end = self.marks[i]
+                break
+            i = self.after.get(i)
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
 
 
 class Text:
-    """One wikitext with its spans."""
+    """One wikitext with its spans: those that can't be what they look like, a link without a title or a template without
+    a name, are left out and stay text."""
 
     def __init__(self, source: str, magic_word_chars: bool = True):
         self.source, self.spans, self.magic_word_chars = source, spans(source), magic_word_chars
+        self.names: dict[int, str] = {}
+        self.broken: set[int] = set()  # templates whose name would have a line break, and so would that of what begins around them
         self.starts = sorted(self.spans)
+        # what ends first is within what ends later
+        for start in sorted(self.starts, key=lambda s: (self.spans[s][3], -s)):
+            if self.spans[start][0] == "template":
+                self.names[start] = self.name(start)
+
+    def valid(self, start: int) -> bool:
+        kind, low, high, _ = self.spans[start]
+        if kind == "link":
+            end = TITLE_END.search(self.source, low, high)
+            return end is None or end.group() == "|"
+        return kind != "template" or bool(self.names[start])
+
+    def name(self, start: int) -> str:
+        """A template's name, up to its first bar; empty if it can't be one, as it is blank or has a line break."""
+        _, low, high, _ = self.spans[start]
+        i, at = bisect_left(self.starts, low), low
+        bar = self.source.find("|", at, high)
+        while i < len(self.starts) and self.starts[i] < high and (bar < 0 or self.starts[i] <= bar):
+            inner = self.starts[i]
+            end = self.spans[inner][3]
+            if inner < at or end > high or not self.valid(inner):
+                if inner in self.broken and inner >= at and end <= high:
+                    self.broken.add(start)
+                    return ""
+                i += 1
+                continue
+            at = end
+            i = bisect_left(self.starts, at)
+            if 0 <= bar < at:
+                bar = self.source.find("|", at, high)
+        name = self.source[low : high if bar < 0 else bar].strip()
+        if "\n" in name:
+            self.broken.add(start)
+            return ""
+        return name
 
     def within(self, low: int, high: int) -> Iterator[tuple[int, Span | None, int]]:
         """Pieces of a range in order: (start, span, end) of each outermost span, (start, None, end) of the text between."""
         i, at = bisect_left(self.starts, low), low
         while i < len(self.starts) and self.starts[i] < high:
             start = self.starts[i]
-            i += 1
             span = self.spans[start]
-            if start < at or span[3] > high or (span[0] == "link" and BAD_TITLE.search(self.title(span))) or (span[0] == "template" and not self.name(span)):
+            if start < at or span[3] > high or not self.valid(start):
+                i += 1
                 continue
             if start > at:
                 yield at, None, start
             yield start, span, span[3]
             at = span[3]
+            i = max(i + 1, bisect_left(self.starts, at))
         if at < high:
             yield at, None, high
 
@@ -170,15 +246,6 @@ class Text:
                 begin = start = p + len(at)
         return [*out, (begin, high)]
 
-    def title(self, span: Span) -> str:
-        return self.source[span[1] : span[2]].split("|", 1)[0]
-
-    def name(self, span: Span) -> str:
-        """A template's name; empty if it can't be one."""
-        low, high = self.parts(span[1], span[2])[0]
-        name = self.source[low:high].strip()
-        return "" if "\n" in name else name
-
     def words(self, low: int, high: int) -> Iterator[tuple[str, str | None]]:
         """(word, link) of everything in the range; infoboxes and other templates give nothing but magic words' characters."""
         for kind, value in self.events(low, high):
@@ -186,78 +253,115 @@ class Text:
                 yield value
 
     def events(self, low: int, high: int) -> Iterator[tuple[str, object]]:
-        """("word", (text, link)) and ("infobox", span) in the order of the text."""
-        source = self.source
-        todo = [(low, high)]
+        """("word", (text, link)) and ("infobox", span) in the order of the text.
+
+        What is still to be done is kept in a list: ranges, and the ends of external links, whose titles' words are held
+        back until the outermost is complete.
+        """
+        todo: list[tuple] = [(low, high)]
+        held: list[str | list[str]] = []  # words, or lists of them
+        begins: list[int] = []  # where in them each title begins
+        mixed: list[int] = []  # where something else than a word stands
         while todo:
             low, high = todo.pop()
-            for start, span, end in self.within(low, high):
-                if span is None:
-                    for w in WORD.findall(source, start, end):
+            if low < 0:
+                self.titled(held, begins.pop(), mixed, *high)
+                if not begins:
+                    yield from (("word", (w, None)) for x in held for w in ([x] if isinstance(x, str) else x))
+                    held.clear()
+                    mixed.clear()
+                continue
+            for kind, value in self.piece(low, high, todo):
+                if kind == "begin":
+                    begins.append(len(held))
+                elif not begins:
+                    yield kind, value
+                elif kind == "word":
+                    if not WORD.fullmatch(value[0]):
+                        mixed.append(len(held))
+                    held.append(value[0])
+
+    def piece(self, low: int, high: int, todo: list[tuple]) -> Iterator[tuple[str, object]]:
+        """What a range gives up to the first span that has to be opened; that and the rest go to ``todo``."""
+        source = self.source
+        for start, span, end in self.within(low, high):
+            if span is None:
+                for w in WORD.findall(source, start, end):
+                    yield "word", (w, None)
+                continue
+            kind, inner, close, after = span
+            if kind in ("tag", "table", "verbatim", "external"):
+                if after < high:
+                    todo.append((after, high))
+                if kind == "tag":
+                    todo.append((inner, close))
+                elif kind == "table":
+                    todo += reversed(list(self.cells(inner, close)))
+                elif kind == "verbatim":
+                    for w in WORD.findall(source, inner, close):
                         yield "word", (w, None)
-                    continue
-                kind, inner, close, after = span
-                if kind in ("tag", "table", "verbatim"):
-                    if after < high:
-                        todo.append((after, high))
-                    if kind == "tag":
-                        todo.append((inner, close))
-                    elif kind == "table":
-                        todo += reversed(list(self.cells(inner, close)))
-                    else:
-                        for w in WORD.findall(source, inner, close):
-                            yield "word", (w, None)
-                    break
-                if kind == "link":
-                    if not source.startswith(MEDIA, inner):
-                        yield "word", self.link(span)
-                elif kind == "entity":
-                    yield "word", (character(source[inner:close]), None)
-                elif kind == "external":
-                    yield from (("word", (w, None)) for w in self.external(start, span))
-                elif kind == "template":
-                    name = self.name(span)
-                    if name.startswith("Infobox"):
-                        yield "infobox", span
-                    elif value := magic(name):
-                        yield from (("word", (c, None)) for c in (value if self.magic_word_chars else [value]))
+                else:
+                    todo += [(-1, (start, span)), (inner, close)]
+                    yield "begin", span
+                break
+            if kind == "link":
+                if not source.startswith(MEDIA, inner):
+                    yield "word", self.link(span)
+            elif kind == "entity":
+                yield "word", (character(source[inner:close]), None)
+            elif kind == "template":
+                name = self.names[start]
+                if name.startswith("Infobox"):
+                    yield "infobox", span
+                elif value := magic(name):
+                    yield from (("word", (c, None)) for c in (value if self.magic_word_chars else [value]))
+
+    def titled(self, held: list, begin: int, mixed: list[int], start: int, span: Span) -> None:
+        """Turn what is held of an external link's title into its words and its url; without a title the words of the url."""
+        url = self.source[start + 1 : span[1]].strip()
+        if span[1] == span[2]:
+            held.append(WORD.findall(url))
+            return
+        same = held[begin:] == [url] if len(held) == begin + 1 else False
+        while mixed and mixed[-1] >= begin:
+            k = mixed.pop()
+            held[k] = WORD.findall(held[k])
+        if not same:
+            mixed.append(len(held))
+            held.append(url)
 
     def link(self, span: Span) -> tuple[str, str]:
         title, bar, shown = self.source[span[1] : span[2]].partition("|")
         url = title.split("#")[0]
         return (shown.split("|")[-1].strip() if shown.strip() else url), url
 
-    def external(self, start: int, span: Span) -> list[str]:
-        """The words of the title and the url; without a title the words of the url."""
-        url = self.source[start + 1 : span[1]].strip()
-        if span[1] == span[2]:
-            return WORD.findall(url)
-        title = " ".join(w for w, _ in self.words(span[1], span[2]))
-        words = WORD.findall(title)
-        return words if title == url else [*words, url]
-
     def cells(self, low: int, high: int) -> Iterator[tuple[int, int]]:
         """Contents of a table's cells; attributes of the table, of rows and of cells are left out."""
         first = self.source.find("\n", low, high)
         if first < 0:
             return
         covered = [(s, e) for s, span, e in self.within(first + 1, high) if span is not None]
-        begin: int | None = None
+        begins = [s for s, _ in covered]
+
+        def inside(at: int) -> bool:
+            k = bisect_left(begins, at) - 1
+            return k >= 0 and at < covered[k][1]
+
         edges: list[tuple[int, int, str]] = []  # start of a row or cell mark, end of it, kind
         for m in LINE.finditer(self.source, first + 1, high):
             line, at = m.group(), m.start() + len(m.group()) - len(m.group().lstrip(" \t:"))
-            if any(s < at < e for s, e in covered):
+            if inside(at):
                 continue
             if self.source.startswith("|-", at):
                 edges.append((at, m.end(), "row"))
             elif self.source[at : at + 1] in ("|", "!") and line.strip():
                 edges.append((at, at + 1, "cell"))
                 double = re.compile(r"\|\||!!" if self.source[at] == "!" else r"\|\|")
-                edges += [(x.start(), x.end(), "cell") for x in double.finditer(self.source, at + 1, m.end()) if not any(s < x.start() < e for s, e in covered)]
+                edges += [(x.start(), x.end(), "cell") for x in double.finditer(self.source, at + 1, m.end()) if not inside(x.start())]
         for i, (_, end, kind) in enumerate(edges):
-            begin, stop = end, edges[i + 1][0] if i + 1 < len(edges) else high
+            stop = edges[i + 1][0] if i + 1 < len(edges) else high
             if kind == "cell":
-                pieces = self.parts(begin, stop, "|", once=True)
+                pieces = self.parts(end, stop, "|", once=True)
                 yield pieces[-1]
 
     def infobox(self, span: Span) -> dict[str, tuple[str, str | None]]:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -96,3 +97,29 @@ def test_any_text_ends():
     for unit in ("{{", "[[", "<b>", "}}", "]]", "</b>", "{{a|", "[[a|", "{{{", "<b></b>", "{{a}}"):
         parse(unit * 20_000)
     assert parse(None) == {"structured_part": [], "unstructured_part": []}
+
+
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ("{{a|" * 10_000 + "}}" * 10_000, 0),
+        ("{{Infobox a|b=" * 10_000 + "}}" * 10_000, 0),
+        ("{{\n x " * 10_000 + "}}" * 10_000, 9_999),
+        ("<!-- " * 100_000, 0),
+        ("{|\n" * 20_000 + "|}\n" * 20_000, None),
+        ("<nowiki>" * 50_000, 50_000),
+        ("<b>" * 20_000 + "x" + "</b>" * 20_000, 1),
+        ("[http://a [[x " * 5_000 + "]] ]" * 5_000, None),
+        ("[[a|" * 20_000 + "]]" * 20_000, None),
+    ],
+)
+def test_deep_and_unbalanced_markup_takes_linear_time(text, n):
+    start = time.process_time()
+    found = words(text)
+    assert time.process_time() - start < 5
+    assert n is None or len(found) == n
+
+
+def test_titles_of_nested_external_links():
+    assert words("[http://a.b [[x [http://c.d y] ]] z]") == plain("x", "y", "http", "c", "d", "z", "http://a.b")
+    assert words("[http://a.b [[x [http://c.d [[Rome|the city]] ]] ]]]") == plain("x", "the", "city", "http", "c", "d", "http://a.b")
