@@ -13,7 +13,7 @@ UNKNOWN = ["?", "??", "???", "-", "--", "–", "—", "−", "...", "…", "n/a"
 # Scale words and their powers of ten.
 SCALES = {"hundred": 2, "thousand": 3, "k": 3, "lakh": 5, "million": 6, "millions": 6, "mln": 6, "mio": 6, "crore": 7, "billion": 9, "billions": 9, "bn": 9, "trillion": 12}
 # The first three letters of the months.
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 NUMBER = r"^([+−-]?)\s?(\d{1,3}(?:[ ,'’]\d{3})+(?!\d)|\d+)(?:[.,](\d+))?"
 ANOTHER = r"^\s*(?:\[[^\]]*\]\s*)?(?:[-–—−/~]|\.\.+|to|or|and|until|till|through|bis)\s*[+−-]?\d"
@@ -25,36 +25,32 @@ def known(t: Column) -> Column:
     return F.when((t != "") & ~F.lower(bare).isin(UNKNOWN), t)
 
 
-def _number(t: Column) -> Column:
-    """The number at the start of the text as decimal(38,12), with the scale word after it; null for a range."""
+def _number(t: Column) -> tuple[Column, Column, Column]:
+    """Sign, whole digits and digits after the point (without idle zeros) of the number at the start of the text, the point
+    moved by the scale word after it; nulls for a range. All is text, so that no digit is lost."""
     whole = F.regexp_replace(F.regexp_extract(t, NUMBER, 2), r"\D", "")
     fraction = F.regexp_extract(t, NUMBER, 3)
     rest = F.regexp_replace(t, NUMBER, "")
     word = F.lower(F.regexp_extract(rest, r"^\s*([A-Za-z]+)(?![A-Za-z²³\d])", 1))
-    power = F.coalesce(F.element_at(F.create_map(*[x for k, v in SCALES.items() for x in (F.lit(k), F.lit(10**v).cast("decimal(14,0)"))]), word), F.lit(1).cast("decimal(14,0)"))
-    value = F.concat(whole, F.lit("."), F.when(fraction == "", "0").otherwise(fraction)).try_cast("decimal(30,10)")
+    power = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for scale in SCALES.items() for x in scale]), word), F.lit(0))
     after = F.regexp_replace(rest, rf"(?i)^\s*(?:{'|'.join(SCALES)})\b", "")
     ok = t.rlike(NUMBER) & ~rest.rlike(ANOTHER) & ~after.rlike(ANOTHER) & ~rest.rlike(r"^[\d.,:/%°^]*\d") & ~rest.rlike(r"^\s\d")
-    signed = F.when(F.regexp_extract(t, NUMBER, 1).isin("-", "−"), F.lit(-1)).otherwise(F.lit(1))
-    return F.when(ok, F.try_multiply(value, power) * signed)
-
-
-def _plain(n: Column) -> Column:
-    """Digits without trailing zeros or a bare point."""
-    s = n.cast("string")
-    return F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")).otherwise(s)
+    digits = F.regexp_replace(F.concat(whole, F.rpad(fraction, power, F.lit("0"))), r"^0+(?=\d)", "")
+    left = F.regexp_replace(F.substring(fraction, power + 1, F.length(fraction)), "0+$", "")
+    minus = F.regexp_extract(t, NUMBER, 1).isin("-", "−") & ((digits != "0") | (left != ""))
+    return F.when(minus, F.lit("-")).otherwise(F.lit("")), F.when(ok, digits), left
 
 
 def decimal_cell(t: Column) -> Column:
-    """A number with a point, no trailing zeros; thousands may be grouped, a comma before one, two or over three digits is a point."""
-    n = _number(known(t))
-    return F.when(n == 0, "0").otherwise(_plain(n.cast("decimal(38,10)")))
+    """A number with a point, no trailing zeros and all its digits; thousands may be grouped, a comma before one, two or over three digits is a point."""
+    sign, digits, left = _number(known(t))
+    return F.concat(sign, digits, F.when(left != "", F.concat(F.lit("."), left)).otherwise(F.lit("")))
 
 
 def int_cell(t: Column) -> Column:
-    """A whole number as plain digits; a number with a fraction is none."""
-    n = _number(known(t))
-    return F.when(n == F.floor(n), F.floor(n).try_cast("bigint").cast("string"))
+    """A whole number of up to 64 bits as plain digits; a number with a fraction is none."""
+    sign, digits, left = _number(known(t))
+    return F.when(left == "", F.concat(sign, digits)).try_cast("bigint").cast("string")
 
 
 def bool_cell(t: Column) -> Column:
@@ -77,8 +73,8 @@ def date_cell(t: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, y, m, d in reversed(DATE_FORMS):
         month = F.regexp_extract(t, pattern, m)
-        named = (F.position(F.lower(F.substring(month, 1, 3)), F.lit(MONTHS)) + 2) / 3
-        number = F.when(month.rlike(r"^\d"), month.try_cast("int")).otherwise(F.when(named == F.floor(named), named.cast("int")).otherwise(0))
+        named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(month, 1, 3)))
+        number = F.when(month.rlike(r"^\d"), month.try_cast("int")).otherwise(named.cast("int"))
         text = F.format_string("%s-%02d-%s", F.lpad(F.regexp_extract(t, pattern, y), 4, "0"), number, F.lpad(F.regexp_extract(t, pattern, d), 2, "0"))
         rest = F.regexp_replace(t, pattern, "")
         single = ~rest.rlike(r"(?i)^\s*(?:[-–—−/~]|to\b|or\b|until\b|and\b)\s*(?:\d|[a-z]{3,9}\.?\s\d)")
@@ -91,5 +87,5 @@ def string_cell(t: Column) -> Column:
 
 
 CELLS = {"int": int_cell, "decimal": decimal_cell, "date": date_cell, "bool": bool_cell, "string": string_cell}
-#: Spark types of the typed columns.
-SQL_TYPES = {"int": "bigint", "decimal": "decimal(38,10)", "date": "date", "bool": "boolean", "string": "string"}
+#: Spark types of the typed columns. A decimal has 22 digits before the point and 16 after it; cells as text have all.
+SQL_TYPES = {"int": "bigint", "decimal": "decimal(38,16)", "date": "date", "bool": "boolean", "string": "string"}

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagelathe.functions.text import utc_text
+from pagelathe.functions.values import MONTHS, SCALES, UNKNOWN
 from pagelathe.operators import compaction, history, nested, skew, wide
 from pagelathe.session import table
 
+def wide_columns(s, d):
+    """The wide table with decimals as doubles and dates as text, in which any engine writes them alike."""
+    wide_rows = wide.wide_table(table(s, d, "page_history"), table(s, d, "infobox_params"))
+    shown = {"decimal": "double", "date": "string"}
+    return wide_rows.select(*[F.col(c).cast(shown.get(kind.partition("(")[0], kind)).alias(c) for c, kind in wide_rows.dtypes])
+
+
 QUERIES = {
     "p1_found": lambda s, d: history.found_periods(table(s, d, "page_history")),
     "p1_periods": lambda s, d: history.attribute_periods(table(s, d, "page_history")).select(
@@ -23,7 +33,7 @@ QUERIES = {
     "p4_results": lambda s, d: skew.page_results(table(s, d, "statistics1")),
     "p4_row_shares": lambda s, d: row_shares(table(s, d, "statistics1")),
     "p5_found": lambda s, d: wide.found_cells(table(s, d, "page_history"), table(s, d, "infobox_params")),
-    "p5_wide": lambda s, d: wide.wide_table(table(s, d, "page_history"), table(s, d, "infobox_params")),
+    "p5_wide": wide_columns,
 }
 
 
@@ -57,7 +67,49 @@ select title, name, min(text) as text, {UTC.format("min(vt)")} as valid_from,
   coalesce({UTC.format("arg_max_null(following, v)")}, '') as valid_to
 from grouped group by title, name, g"""
 
+GROUPED = "'^[+−-]?\\s?\\d{1,3}(?:[ ,''’]\\d{3})+(?:\\D.*)?$'"
+SCALE = "|".join(SCALES)
+RANGE = "'^\\s*(?:\\[[^\\]]*\\]\\s*)?(?:[-–—−/~]|\\.\\.+|to|or|and|until|till|through|bis)\\s*[+−-]?\\d'"
+MONTH = "list_position([" + ", ".join(f"'{m}'" for m in MONTHS) + "], lower(substr({0}, 1, 3)))"
+DAY = "'^\\s*(?:[-–—−/~]|to\\b|or\\b|until\\b|and\\b)\\s*(?:\\d|[a-z]{3,9}\\.?\\s\\d)'"
+DATES = {  # pattern, and year, month and day from its groups
+    "'^(\\d{4})-(\\d{1,2})-(\\d{1,2})((?:\\D.*)?)$'": ("g[1]", "g[2]", "g[3]"),
+    "'^(\\d{4})/(\\d{1,2})/(\\d{1,2})((?:\\D.*)?)$'": ("g[1]", "g[2]", "g[3]"),
+    "'^(\\d{4})\\.(\\d{1,2})\\.(\\d{1,2})((?:\\D.*)?)$'": ("g[1]", "g[2]", "g[3]"),
+    "'^(\\d{1,2})\\.\\s?(\\d{1,2})\\.\\s?(\\d{4})((?:\\D.*)?)$'": ("g[3]", "g[2]", "g[1]"),
+    "'^(\\d{1,2})(?:st|nd|rd|th)?\\.?\\s(?:day\\s)?(?:of\\s)?([A-Za-z]{3,9})\\.?,?\\s(\\d{3,4})((?:\\D.*)?)$'": ("g[3]", MONTH.format("g[2]"), "g[1]"),
+    "'^([A-Za-z]{3,9})\\.?\\s(\\d{1,2})(?:st|nd|rd|th)?,?\\s(\\d{3,4})((?:\\D.*)?)$'": ("g[3]", MONTH.format("g[1]"), "g[2]"),
+}
+
+
+def date_sql(pattern: str, y: str, m: str, d: str) -> str:
+    group = lambda x: re.sub(r"g\[(\d)\]", rf"regexp_extract(t, {pattern.replace(chr(92), chr(92) * 2)}, \1)", x)
+    day = f"lpad({group(y)}, 4, '0') || '-' || lpad(cast({group(m)} as varchar), 2, '0') || '-' || lpad({group(d)}, 2, '0')"
+    return f"when regexp_matches(t, {pattern}) then case when not regexp_matches(lower({group('g[4]')}), {DAY}) then cast(try_cast({day} as date) as varchar) end"
+
+
+CELLS = f"""{VERSIONS}, lasts as (select title, structured_part from (select *, row_number() over (partition by title order by vt desc) as rn from versions) where rn = 1),
+entries as (select title, unnest(structured_part) as p, generate_subscripts(structured_part, 1) as i from lasts),
+fed as (select e.title, i, c.column_name, c.column_type, {TEXT} as t from entries e join infobox_params c on {NAME} = c.name where c.column_name is not null),
+told as (select * from fed where t <> '' and (column_type = 'bool' or lower(trim(regexp_replace(t, '\\[[^\\[\\]]*\\]', '', 'g'))) not in ({", ".join(f"'{u}'" for u in UNKNOWN)}))),
+cut as (select *, case when regexp_matches(t, {GROUPED}) then regexp_extract(t, '^([+−-]?)\\s?(\\d{{1,3}}(?:[ ,''’]\\d{{3}})+)(?:[.,](\\d+))?(.*)$', ['sign', 'whole', 'fraction', 'rest'])
+  else regexp_extract(t, '^([+−-]?)\\s?(\\d+)(?:[.,](\\d+))?(.*)$', ['sign', 'whole', 'fraction', 'rest']) end as x from told),
+scaled as (select *, regexp_replace(x.rest, '^\\s*(?:{SCALE})\\b', '', 'i') as after,
+  coalesce(map {{{", ".join(f"'{k}': {v}" for k, v in SCALES.items())}}}[lower(regexp_extract(x.rest, '^\\s*([A-Za-z]+)(?:[^A-Za-z²³\\d]|$)', 1))], 0) as power from cut),
+numbered as (select *, case when x.whole <> '' and not regexp_matches(x.rest, {RANGE}) and not regexp_matches(after, {RANGE}) and not regexp_matches(x.rest, '^[\\d.,:/%°^]*\\d') and not regexp_matches(x.rest, '^\\s\\d')
+  then cast(regexp_replace(x.whole, '\\D', '', 'g') || '.' || case when x.fraction = '' then '0' else x.fraction end as decimal(38, 12)) * cast(pow(10, power) as bigint) * case when x.sign in ('-', '−') then -1 else 1 end end as number from scaled),
+shown as (select title, column_name, column_type, i, case column_type when 'string' then t
+  when 'bool' then map {{'yes': 'true', 'y': 'true', 'true': 'true', 't': 'true', '1': 'true', 'no': 'false', 'n': 'false', 'false': 'false', 'f': 'false', '0': 'false'}}[lower(regexp_extract(t, '^([A-Za-z0-9]+)[.!]?\\s*(?:[\\[(;,].*)?$', 1))]
+  when 'int' then case when number = floor(number) then cast(cast(number as bigint) as varchar) end
+  when 'decimal' then case when number = floor(number) then cast(cast(number as bigint) as varchar) else rtrim(cast(number as varchar), '0') end
+  when 'date' then case {" ".join(date_sql(k, *v) for k, v in DATES.items())} end end as cell from numbered),
+cells as (select title, column_name, any_value(column_type) as column_type, arg_max(cell, i) as cell from shown where cell is not null group by title, column_name)"""
+#: The columns of the wide table, which are fixed, by type.
+WIDE = {"bigint": ["bridges", "collection", "crew", "elevation_m", "population", "tracks", "visitors"], "double": ["area_km2", "displacement_t", "length_km"], "boolean": ["is_live", "is_protected"], "varchar": ["country", "fate", "founded", "genre", "launched", "mouth", "opened", "released"]}
+
 ORACLE = {
+    "p5_found": f"with {CELLS} select title, column_name, cell from cells",
+    "p5_wide": f"with {CELLS} select l.title, " + ", ".join(f"cast(max(case when column_name = '{c}' then cell end) as {kind}) as {c}" for kind, names in WIDE.items() for c in names) + " from lasts l left join cells c on l.title = c.title group by l.title",
     "p1_found": f"select title, name, valid_from, valid_to from ({PERIODS})",
     "p1_periods": PERIODS,
     "p3_found": """with lines as (select unnest(string_split_regex(body, '\\r\\n|\\n|\\r')) as line from page_files),

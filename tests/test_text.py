@@ -48,6 +48,8 @@ def test_numbers(spark):
         "1,669": ("1669", "1669"), "9 237": ("9237", "9237"), "4 255 people[2]": ("4255", "4255"), "−162 m": ("-162", "-162"), "0.2 million inhabitants": ("200000", "200000"),
         "1 thousand": ("1000", "1000"), "133,6": (None, "133.6"), "3,642.56 km": (None, "3642.56"), "5.0 t": ("5", "5"), "10 (est. of the council)": ("10", "10"), "12 m a.s.l. (2014 census)": ("12", "12"),
         "23-49": (None, None), "5–13": (None, None), "98 to 199": (None, None), "5 or 6": (None, None), "?": (None, None), "n/a": (None, None), "": (None, None), "about": (None, None), "-0": ("0", "0"), "5 million": ("5000000", "5000000"),
+        "3.14159265358979": (None, "3.14159265358979"), "0.00000000001234 kg": (None, "0.00000000001234"), "123456789012345678901.5": (None, "123456789012345678901.5"), "−0.000 (2001)": ("0", "0"), "007": ("7", "7"), "0.50 million": ("500000", "500000"),
+        "1.2345678901 million": (None, "1234567.8901"), "12345678901234567890 trillion": (None, "12345678901234567890000000000000"), "9223372036854775807": ("9223372036854775807",) * 2, "9223372036854775808": (None, "9223372036854775808"), "1,2345": (None, "1.2345"),
     }
     got = column(spark, list(cases), lambda c: values.int_cell(text.squeeze(c)), lambda c: values.decimal_cell(text.squeeze(c)))
     assert dict(zip(cases, got)) == cases

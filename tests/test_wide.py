@@ -40,3 +40,11 @@ def test_empty_tables(spark):
     assert wide.wide_table(history, params).count() == 0 and wide.found_cells(history, params).count() == 0
     history, params = tables(spark, [("t", "2020-01-01T00:00:00Z", [("pop", "5")])], [])
     assert wide.wide_table(history, params).columns == ["title"] and wide.found_cells(history, params).count() == 0
+
+
+def test_decimals_keep_their_digits(spark):
+    numbers = ["3.14159265358979", "0.00000000001234", "123456789012345678901.5", "1." + "1" * 30]
+    history, params = tables(spark, [(f"t{i}", "2020-01-01T00:00:00Z", [("area", n + " km")]) for i, n in enumerate(numbers)])
+    assert [r.cell for r in wide.found_cells(history, params).orderBy("title").collect()] == numbers
+    typed = [r.area for r in wide.wide_table(history, params).orderBy("title").collect()]
+    assert typed[:3] == [Decimal(n) for n in numbers[:3]] and typed[3] == Decimal("1.1111111111111111")
