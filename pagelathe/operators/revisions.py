@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions.tokendiff import token_diff
 from pagelathe.functions.wikitext import PARSED, parse
-from pagelathe.operators.ordered import HOT_ROWS, with_text_slots
+from pagelathe.operators.ordered import HOT_ROWS, with_slots
 from pagelathe.session import written
 
 PARTS = pa.struct([("name", pa.string()), ("text", pa.string()), ("link", pa.string())])
@@ -16,21 +16,24 @@ TOKENS = pa.struct([("text", pa.string()), ("link", pa.string()), ("position", p
 
 
 def parsed_pages(revisions: DataFrame, magic_word_chars: bool = True) -> DataFrame:
-    """``page, ver, contributor, structured_part, unstructured_part`` of revisions ``page, ver, contributor, text``.
+    """``page, ver, contributor, structured_part, unstructured_part`` of revisions ``page, ver, contributor, text [, rev_ord]``,
+    with ``rev_ord`` (null where it isn't given).
 
     One pass without a shuffle. A null text has no tokens; texts are parsed whole.
     """
-    schema = pa.schema([("page", pa.string()), ("ver", pa.string()), ("contributor", pa.string()), ("structured_part", pa.list_(PARTS)), ("unstructured_part", pa.list_(TOKENS))])
+    schema = pa.schema([("page", pa.string()), ("ver", pa.string()), ("contributor", pa.string()), ("structured_part", pa.list_(PARTS)), ("unstructured_part", pa.list_(TOKENS)), ("rev_ord", pa.int32())])
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 done = [parse(t, magic_word_chars) for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([d["structured_part"] for d in done], schema.types[3]), pa.array([d["unstructured_part"] for d in done], schema.types[4])], schema=schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([d["structured_part"] for d in done], schema.types[3]), pa.array([d["unstructured_part"] for d in done], schema.types[4]), part.column(4)], schema=schema)
 
     kinds = PARSED.removeprefix("struct<").removesuffix(">")
-    return revisions.select("page", "ver", F.col("contributor").cast("string").alias("contributor"), "text").mapInArrow(run, f"page string, ver string, contributor string, {kinds}")
+    place = F.col("rev_ord") if "rev_ord" in revisions.columns else F.lit(None)
+    columns = revisions.select("page", "ver", F.col("contributor").cast("string").alias("contributor"), "text", place.cast("int").alias("rev_ord"))
+    return columns.mapInArrow(run, f"page string, ver string, contributor string, {kinds}, rev_ord int")
 
 
 def marked(text: str = "t.text", link: str = "t.link"):
@@ -60,37 +63,41 @@ def token_sequences(parsed: DataFrame) -> DataFrame:
     """``page, ver, tokens, positions``: the marked tokens of each version in order.
 
     Versions without tokens are left out. Revisions of one page with the same ``ver`` are one version: their tokens
-    follow one another, in the order of the sequences themselves.
+    follow one another, in the order of ``rev_ord`` where that is known, else of the sequences themselves.
     """
+    place = F.col("rev_ord") if "rev_ord" in parsed.columns else F.lit(None).cast("int")
     rows = parsed.where("size(unstructured_part) > 0").select(
-        "page", "ver",
+        "page", "ver", place.alias("o"),
         F.expr("""transform(array_sort(unstructured_part, (a, b) -> a.position - b.position),
                   x -> struct(if(x.link is not null, concat('[E]', x.link), x.text) as token, x.position as position))""").alias("t"),
     )
-    together = rows.groupBy("page", "ver").agg(F.flatten(F.sort_array(F.collect_list("t"))).alias("t"))
+    together = rows.groupBy("page", "ver").agg(F.flatten(F.sort_array(F.collect_list(F.struct("o", "t")))["t"]).alias("t"))
     return together.select("page", "ver", F.col("t.token").alias("tokens"), F.col("t.position").alias("positions"))
 
 
-def version_index(rows: DataFrame) -> DataFrame:
-    """``page, ver, idx``: distinct versions of each page, numbered from 0 in string order."""
-    return rows.select("page", "ver").distinct().withColumn("idx", F.row_number().over(Window.partitionBy("page").orderBy("ver")) - 1)
+def version_index(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``page, ver, idx``: distinct versions of each page, numbered from 0 in string order; hot pages are cut into slots of
+    that order, whose sizes give each slot its first number."""
+    cut = with_slots(rows.select("page", "ver").distinct(), "page", "ver", hot_rows)
+    number = F.row_number().over(Window.partitionBy("page", "slot").orderBy("ver")) - 1
+    if cut.hot is None:
+        return cut.rows.withColumn("idx", number).select("page", "ver", "idx")
+    sizes = cut.rows.join(F.broadcast(cut.hot), "page", "left_semi").groupBy("page", "slot").agg(F.count(F.lit(1)).alias("n"))
+    firsts = sizes.select("page", "slot", (F.sum("n").over(Window.partitionBy("page").orderBy("slot")) - F.col("n")).cast("int").alias("first"))
+    return cut.rows.withColumn("idx", number).join(firsts, ["page", "slot"], "left").select("page", "ver", (F.col("idx") + F.coalesce("first", F.lit(0))).alias("idx"))
 
 
 def version_pairs(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``page, ver1, ver2``: consecutive versions of each page, in string order.
 
-    Hot pages are cut into slots of the same order, joined over their edges.
+    Hot pages are cut into slots of the same order, joined over their edges. Rows without page or version are left out.
     """
-    versions = rows.where("page is not null and ver is not null").select("page", "ver").distinct()
-    slotted, hot = with_text_slots(versions, "page", "ver", hot_rows)
-    if hot is None:
-        pairs = versions.withColumn("ver2", F.lead("ver").over(Window.partitionBy("page").orderBy("ver")))
-        return pairs.where("ver2 is not null").select("page", F.col("ver").alias("ver1"), "ver2")
-    following = F.lead("ver").over(Window.partitionBy("page", "slot").orderBy("ver"))
-    pairs = slotted.withColumn("ver2", following)
-    edges = slotted.join(F.broadcast(hot), "page", "left_semi").groupBy("page", "slot").agg(F.min("ver").alias("first"))
-    edges = edges.select("page", "slot", F.lead("first").over(Window.partitionBy("page").orderBy("slot")).alias("next"))
-    pairs = pairs.join(edges, ["page", "slot"], "left").withColumn("ver2", F.coalesce("ver2", "next"))
+    cut = with_slots(rows.where("page is not null and ver is not null").select("page", "ver").distinct(), "page", "ver", hot_rows)
+    pairs = cut.rows.withColumn("ver2", F.lead("ver").over(Window.partitionBy("page", "slot").orderBy("ver")))
+    if cut.hot is not None:
+        edges = cut.rows.join(F.broadcast(cut.hot), "page", "left_semi").groupBy("page", "slot").agg(F.min("ver").alias("first"))
+        edges = edges.select("page", "slot", F.lead("first").over(Window.partitionBy("page").orderBy("slot")).alias("next"))
+        pairs = pairs.join(edges, ["page", "slot"], "left").withColumn("ver2", F.coalesce("ver2", "next"))
     return pairs.where("ver2 is not null").select("page", F.col("ver").alias("ver1"), "ver2")
 
 

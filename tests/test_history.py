@@ -74,3 +74,26 @@ def test_empty_and_clashing_columns(spark):
     assert history.found_periods(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "a", stamp(0), None, [("n", "x" * 300_000, None)], None)], SCHEMA).selectExpr("*", "1 as slot", "2 as tree", "'q' as name", "3 as at", "4 as before")
     assert [r.text for r in history.attribute_periods(df).collect()] == ["x" * 300_000]
+
+
+def test_one_instant_with_most_rows(spark):
+    rows = [(i, "Hot", stamp(5), None, [("a", f"v{i % 7}", None)], datetime(2021, 1, 1)) for i in range(300)] + sample(random.Random(3), 100, ["Hot", "Cold"])
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in history.attribute_periods(df, hot_rows=40).collect()} == {tuple(r) for r in history.attribute_periods(df).collect()}
+
+
+def test_appends_give_what_a_rebuild_gives(spark, tmp_path):
+    rng = random.Random(4)
+    rows = sample(rng, 300, ["A", "B", "c", "D"])
+    early = [r for r in rows if r[2] and r[2] < stamp(20)]
+    batches = [early[:80], [r for r in rows if r[2] and stamp(20) <= r[2] < stamp(30) and r[1] != "D"], [], [r for r in rows if r[2] and r[2] >= stamp(30)], early[60:], rows]
+    kept = history.History(spark, str(tmp_path / "history"))
+    assert kept.periods().count() == 0
+    seen = []
+    for batch in batches:
+        kept.append(spark.createDataFrame(batch, SCHEMA))
+        seen += batch
+        got = [tuple(r) for r in kept.periods().collect()]
+        assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in history.attribute_periods(spark.createDataFrame(seen, SCHEMA)).collect()}
+    second = spark.read.parquet(str(tmp_path / "history/1/events"))
+    assert second.count() and {r.title for r in second.select("title").distinct().collect()} <= {"A", "B", "C"}

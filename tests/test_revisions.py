@@ -107,6 +107,15 @@ def test_hot_pages_are_cut_in_string_order(spark):
     cut = [tuple(r) for r in R.version_pairs(df, hot_rows=50).collect()]
     ordered = lambda p, x: {(p, *both) for both in zip(sorted(x), sorted(x)[1:])}
     assert len(cut) == len(set(cut)) and set(cut) == ordered("Hot", vers) | ordered("Warm", vers) | ordered("Cold", list(vers)[:20])
+    index = lambda p, x: {(p, v, i) for i, v in enumerate(sorted(x))}
+    numbered = [tuple(r) for r in R.version_index(df, hot_rows=50).collect()]
+    assert len(numbered) == len(set(numbered)) and set(numbered) == index("Hot", vers) | index("Warm", vers) | index("Cold", list(vers)[:20])
+
+
+def test_revisions_of_one_version_follow_their_place(spark):
+    rows = [("P", "1", "z y", 0), ("P", "1", "a b", 1), ("P", "2", "a", 2)]
+    parsed = R.parsed_pages(spark.createDataFrame(rows, "page string, ver string, text string, rev_ord int").selectExpr("*", "null as contributor"))
+    assert {(r.ver, " ".join(r.tokens)) for r in R.token_sequences(parsed).collect()} == {("1", "z y a b"), ("2", "a")}
 
 
 def test_documents_without_page_or_version_are_parsed(spark, tmp_path):
