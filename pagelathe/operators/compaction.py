@@ -7,7 +7,6 @@ whose row counts and checksums are compared with the manifest's, and then commit
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections.abc import Iterator
@@ -18,20 +17,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelathe.functions.jsontext import loads
 from pagelathe.operators.nested import bare, sound
 from pagelathe.session import scratch, written
 
 #: Bytes of records a rewritten file should have, and how many such files one task writes.
 TARGET_BYTES = 32 << 20
 BINS_A_TASK = 2
+#: Bytes of records, repeats included, that pass through one task at most.
+DELIVERED_A_TASK = 512 << 20
+#: The file that is written last to a committed folder.
+MARK = "_COMMITTED"
 LINE = re.compile(r"\r\n|\n|\r")
 
 
-def no_constant(name: str):
-    """NaN and Infinity are no JSON."""
-    raise ValueError(name)
-
-
 def records(body: str | None) -> Iterator[tuple[int, str, str, str]]:
     """Line number, title, timestamp and text of each record: a complete JSON object, alone in its line, with both."""
     for n, line in enumerate(LINE.split(body or "")):
@@ -39,8 +38,8 @@ def records(body: str | None) -> Iterator[tuple[int, str, str, str]]:
         if not (text.startswith("{") and text.endswith("}")):
             continue
         try:
-            o = json.loads(text, parse_constant=no_constant)
-        except (ValueError, RecursionError):
+            o = loads(text)
+        except ValueError:
             continue
         title, ver = o.get("title"), o.get("timestamp")
         if isinstance(title, str) and isinstance(ver, str) and title.strip() and ver.strip():
@@ -83,17 +82,20 @@ def found_records(files: DataFrame) -> DataFrame:
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """The frozen manifest, written to the shared folder: ``file_id, n_records, n_bytes, high, low, lines``.
+    """The frozen manifest, written to the shared folder: ``file_id, n_records, n_bytes, delivered, high, low, lines``.
 
-    A row says which lines of a file are kept, and has their bytes and checksum (sums of the halves of their hashes).
+    A row says which lines of a file are kept, and has their bytes, the bytes of all their deliveries, and their checksum
+    (sums of the halves of their hashes).
     Of a record delivered more than once the delivery written last counts, then that of the smallest file and line.
     """
     latest = F.max(F.struct("written_at", (-F.col("file_id")).alias("f"), (-F.col("line")).alias("l"), "n_bytes", "h")).alias("x")
-    kept = found_records(files).groupBy("k1", "k2").agg(latest).select((-F.col("x.f")).alias("file_id"), (-F.col("x.l")).alias("line"), "x.n_bytes", "x.h")
+    chosen = found_records(files).groupBy("k1", "k2").agg(latest, F.sum("n_bytes").alias("delivered"))
+    kept = chosen.select((-F.col("x.f")).alias("file_id"), (-F.col("x.l")).alias("line"), "x.n_bytes", "x.h", "delivered")
     return written(
         kept.groupBy("file_id").agg(
             F.count(F.lit(1)).alias("n_records"),
             F.sum("n_bytes").alias("n_bytes"),
+            F.sum("delivered").alias("delivered"),
             F.sum(F.shiftright("h", 32)).alias("high"),
             F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"),
             F.collect_list("line").alias("lines"),
@@ -127,10 +129,11 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 def packed(plan: DataFrame, target_bytes: int) -> tuple[DataFrame, int]:
     """The manifest with ``shard`` and ``bin``. Each shard is packed by itself, in one task, and has a few bins.
 
-    Shards are even as they follow the hash of the file's id; all but one bin of each are full.
+    Shards are even as they follow the hash of the file's id; all but one bin of each are full, but where repeats are
+    so many that shards must be smaller, as all deliveries of a shard pass through its task.
     """
-    total = plan.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(1, math.ceil(total / (BINS_A_TASK * target_bytes)))
+    total = plan.agg(F.sum("n_bytes"), F.sum("delivered")).first()
+    shards = max(1, math.ceil((total[0] or 0) / (BINS_A_TASK * target_bytes)), math.ceil((total[1] or 0) / DELIVERED_A_TASK))
     sharded = plan.withColumn("shard", F.pmod(F.xxhash64("file_id"), F.lit(shards)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +164,7 @@ def compact(files: DataFrame, out: str, target_bytes: int = TARGET_BYTES) -> Dat
     rows = spark.read.schema("title string, ver string, record string, bin int").parquet(staging)
     verify(plan, rows)
     commit(spark, staging, out)
-    return spark.read.schema("title string, ver string, record string, bin int").parquet(out)
+    return read_compacted(spark, out)
 
 
 def rewritten(files: DataFrame, plan: DataFrame, shards: int) -> DataFrame:
@@ -205,12 +208,21 @@ def verify(plan: DataFrame, rows: DataFrame) -> None:
 
 
 def commit(spark: SparkSession, staging: str, out: str) -> None:
-    """Rename the staging folder; readers see either nothing or the whole result."""
+    """Rename the staging folder and then mark it: on file systems whose rename isn't atomic, only a marked folder is whole."""
     jvm = spark.sparkContext._jvm
     source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(out)
     fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target) or not fs.rename(source, target):
         raise RuntimeError(f"not committed: {out} exists or can't be made")
+    fs.create(jvm.org.apache.hadoop.fs.Path(f"{out}/{MARK}")).close()
+
+
+def read_compacted(spark: SparkSession, out: str) -> DataFrame:
+    """``title, ver, record, bin`` of a committed folder; raises if it isn't marked."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{MARK}")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        raise RuntimeError(f"{out} isn't committed")
+    return spark.read.schema("title string, ver string, record string, bin int").parquet(out)
 
 
 def compacted(files: DataFrame) -> DataFrame:

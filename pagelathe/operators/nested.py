@@ -15,16 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelathe.functions.jsontext import loads
 from pagelathe.session import scratch
 from pagelathe.sources.dumps import PAGE
 
 TAGGED = "tag string, pk string, parent string, page_id bigint, rev_id bigint, payload string"
 #: Schemas of the payloads by tag.
 PAYLOADS = {
-    "page": "title string, ns bigint, loaded string",
+    "page": "title string, ns bigint",
     "revision": "parentid bigint, timestamp string, format string, comment string",
     "contributor": "username string, ip string, user_id bigint",
     "text": "role string, text string",
+    "refused": "body string",
 }
 #: Marks that may stand around a record without being part of it: control and format characters, byte order marks.
 INVISIBLE = "".join(chr(c) for low, high in ((0, 0x20), (0x7F, 0xA1), (0xAD, 0xAD), (0x61C, 0x61C), (0x180E, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB)) for c in range(low, high + 1) if c != 0xA1)
@@ -46,15 +48,17 @@ def sound(s: str) -> str:
 
 def scalar(v) -> str | None:
     """The text of a member in any shape: plain, ``#text`` of an object, or the parts of a list in order."""
-    if isinstance(v, str):
-        return v
-    if isinstance(v, bool) or v is None:
-        return None
-    if isinstance(v, (int, float)):
-        return str(v)
-    if isinstance(v, dict):
-        return scalar(v.get("#text"))
-    parts = [t for t in map(scalar, v) if t is not None]
+    parts, stack = [], [v]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif isinstance(x, dict):
+            stack.append(x.get("#text"))
+        elif isinstance(x, list):
+            stack += reversed(x)
+        elif isinstance(x, (int, float)) and not isinstance(x, bool):
+            parts.append(str(x))
     return "".join(parts) if parts else None
 
 
@@ -68,6 +72,10 @@ def whole(v) -> int | None:
     return n if n is not None and -(2**63) <= n < 2**63 else None
 
 
+#: Members of which a revision has one at least, if it isn't merely wrapped around others.
+OWN = ("id", "text", "timestamp", "slots", "contributor", "parentid")
+
+
 def each(v, inner: str) -> Iterator:
     """Members of a list, or the one object in its place; ``{inner: ...}`` is opened. What is no object is left out."""
     stack = [v]
@@ -76,9 +84,10 @@ def each(v, inner: str) -> Iterator:
         if isinstance(x, list):
             stack += reversed(x)
         elif isinstance(x, dict):
-            if inner in x and isinstance(x[inner], (list, dict)) and inner != "revision":
+            wrapped = isinstance(x.get(inner), (list, dict))
+            if wrapped:
                 stack.append(x[inner])
-            else:
+            if not wrapped or (inner == "revision" and any(k in x for k in OWN)):
                 yield x
 
 
@@ -96,19 +105,24 @@ def roots(v) -> Iterator[dict]:
                 stack += [x[k] for k in reversed(list(x)) if isinstance(x[k], (dict, list))]
 
 
+def complete(body: str | None):
+    """The value of a body, None if it isn't complete JSON."""
+    try:
+        return loads(bare(body or ""))
+    except ValueError:
+        return None
+
+
 def page_objects(body: str | None) -> list[dict]:
     """Page objects of one record; none if it isn't complete JSON."""
-    try:
-        return list(roots(json.loads(bare(body or ""))))
-    except (ValueError, RecursionError):
-        return []
+    return list(roots(complete(body)))
 
 
-def person(rev: dict) -> dict:
-    """A revision's contributor as an object, whatever its shape."""
+def people(rev: dict) -> list[dict]:
+    """A revision's contributors as objects, whatever their shape; one at least, the one that counts first."""
     who = rev.get("contributor")
-    who = who[0] if isinstance(who, list) and who else who
-    return who if isinstance(who, dict) else {"username": who}
+    found = [x if isinstance(x, dict) else {"username": x} for x in (who if isinstance(who, list) else [who])]
+    return found or [{}]
 
 
 def pack(**x) -> str:
@@ -122,12 +136,12 @@ def named(prefix: str, number: int | None, content: Callable[[], list]) -> str:
 
 def revision_rows(rev: dict) -> list[tuple[str, str, str]]:
     """Tag, end of the key and payload of a revision, its contributor and its texts."""
-    who = person(rev)
-    name, ip = scalar(who.get("username")), scalar(who.get("ip"))
     rows = [
         ("revision", "", pack(parentid=whole(rev.get("parentid")), timestamp=scalar(rev.get("timestamp")), format=scalar(rev.get("format")), comment=scalar(rev.get("comment")))),
-        ("contributor", "/c", pack(username=name and name.strip(), ip=ip and ip.strip(), user_id=whole(who.get("id")))),
     ]
+    for k, who in enumerate(people(rev)):
+        name, ip = scalar(who.get("username")), scalar(who.get("ip"))
+        rows.append(("contributor", f"/c{k or ''}", pack(username=name and name.strip(), ip=ip and ip.strip(), user_id=whole(who.get("id")))))
     own = scalar(rev.get("text"))
     if own and own.strip():
         rows.append(("text", "/t:main", pack(role="main", text=own)))
@@ -139,8 +153,11 @@ def revision_rows(rev: dict) -> list[tuple[str, str, str]]:
 
 
 def visit(body: str | None) -> Iterator[tuple]:
-    """Tagged rows of one record; none if it isn't complete JSON."""
-    for page in page_objects(body):
+    """Tagged rows of one record; of a body that has something but isn't complete JSON, only the body itself."""
+    record = complete(body)
+    if record is None and bare(body) not in ("", "null"):
+        yield "refused", hashlib.md5(sound(body).encode()).hexdigest(), None, None, None, pack(body=body)  # noqa: S324
+    for page in roots(record):
         page_id, title = whole(page.get("id")), scalar(page.get("title"))
         payload = pack(title=title, ns=whole(page.get("ns")))
         revs = ((whole(rev.get("id")), revision_rows(rev)) for rev in each(page.get("revision"), "revision"))
@@ -168,7 +185,7 @@ def page_records(raw: DataFrame) -> DataFrame:
 
     def row(page: dict) -> dict:
         revs = each(page.get("revision"), "revision")
-        return {"title": text(page.get("title")), "revision": [{"timestamp": text(r.get("timestamp")), "contributor": {"username": text(person(r).get("username"))}, "format": text(r.get("format")), "text": text(r.get("text"))} for r in revs]}
+        return {"title": text(page.get("title")), "revision": [{"timestamp": text(r.get("timestamp")), "contributor": {"username": text(people(r)[0].get("username"))}, "format": text(r.get("format")), "text": text(r.get("text"))} for r in revs]}
 
     def run(batches):
         for batch in batches:
@@ -232,10 +249,16 @@ class FlatTables:
         return self._one("revision")
 
     def contributors(self) -> DataFrame:
-        """``pk, parent, page_id, rev_id, username, ip, user_id, contributor``; the last is '' where there is neither name nor ip."""
+        """``pk, parent, page_id, rev_id, username, ip, user_id, contributor``; the last is '' where there is neither name nor ip.
+
+        A revision has one at least; of several the first, whose key ends in ``/c``, is its contributor elsewhere."""
         name = F.coalesce(F.nullif("username", F.lit("")), F.nullif("ip", F.lit("")), F.lit(""))
         return self._one("contributor").withColumn("contributor", name)
 
+    def refused(self) -> DataFrame:
+        """``body, n``: what isn't complete JSON, and how often it came."""
+        return self._rows("refused").groupBy("body").agg(F.count(F.lit(1)).alias("n"))
+
     def texts(self) -> DataFrame:
         """``pk, parent, page_id, rev_id, role, text``"""
         return self._one("text")
@@ -243,14 +266,14 @@ class FlatTables:
     def found(self) -> DataFrame:
         """``page_id, rev_id, contributor, role``: one row per text with the contributor of its revision."""
         roles = self.spark.read.schema(TAGGED).parquet(self.path).where("tag = 'text'").select("parent", "page_id", "rev_id", F.get_json_object("payload", "$.role").alias("role")).distinct()
-        people = self.contributors().select("parent", "contributor")
-        return roles.join(people, "parent", "left").select("page_id", "rev_id", F.coalesce("contributor", F.lit("")).alias("contributor"), "role")
+        first = self.contributors().where(F.col("pk").endswith("/c")).select("parent", "contributor")
+        return roles.join(first, "parent", "left").select("page_id", "rev_id", F.coalesce("contributor", F.lit("")).alias("contributor"), "role")
 
 
 def flatten_pages(raw: DataFrame) -> FlatTables:
     """Write the tagged rows of ``raw.body`` to the shared folder, partitioned by tag, and give the flat tables.
 
-    Null, damaged, empty and non-object bodies give no rows. Members may be missing or come in any shape (text, object
+    Null, empty and non-object bodies give no rows; damaged ones (NaN is no JSON) go to ``refused``. Bodies may be nested to any depth. Members may be missing or come in any shape (text, object
     with ``#text``, list). A page without an id has a null id and a key by its title and namespace (without a title, by all it holds), a
     revision without one a key by its page's key and all it holds. Texts are kept whole.
     """

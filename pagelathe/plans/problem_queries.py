@@ -38,10 +38,10 @@ QUERIES = {
 
 
 def row_shares(stats):
-    """Each row with revs and a page, beside its page's rows and total: a skewed side joined with one row per page."""
-    rows = skew.statistics_rows(stats).where("revs is not null and page is not null").select("shard", "row_no", "page", "revs")
+    """Each row with revs and a page (its total is that of all such rows), beside its page's rows and total: a skewed side joined with one row per page."""
+    rows = skew.statistics_rows(stats, ("page", "revs")).where("revs is not null and page is not null")
     plan = skew.page_loads(stats)
-    return skew.fragment_replicate_join(rows, skew.page_results(stats, plan), "page", ["shard", "row_no"], plan=plan)
+    return skew.fragment_replicate_join(rows, skew.page_results(stats, plan), "page", skew.SPREAD, plan=plan).drop("own")
 
 
 #: A title by the title rule, and statistics1 with each named row once (the one written last).
@@ -67,6 +67,40 @@ select title, name, min(text) as text, {UTC.format("min(vt)")} as valid_from,
   coalesce({UTC.format("arg_max_null(following, v)")}, '') as valid_to
 from grouped group by title, name, g"""
 
+
+
+def listed(j: str) -> str:
+    """The objects of a JSON list, or the one object in its place."""
+    return f"list_filter(case json_type({j}) when 'ARRAY' then json_extract({j}, '$[*]') when 'OBJECT' then [{j}] else [] end, lambda o: json_type(o) = 'OBJECT')"
+
+
+def shown(j: str, part: str = "x") -> str:
+    """The text of a JSON member in any of its shapes."""
+    one = lambda v: f"case json_type({v}) when 'OBJECT' then {v} ->> '#text' when 'ARRAY' then null when 'NULL' then null else {v} ->> '$' end"
+    return f"(case json_type({j}) when 'ARRAY' then nullif(array_to_string(list_transform(json_extract({j}, '$[*]'), lambda {part}: {one(part)}), ''), '') else {one(j)} end)"
+
+
+def counted(j: str) -> str:
+    return f"try_cast(trim({shown(j)}) as bigint)"
+
+
+def fullest(*columns: str) -> str:
+    """Of rows with one key the one with the most that sorts last."""
+    filled = " + ".join(f"cast({c} is not null as integer)" for c in columns)
+    return f"qualify row_number() over (partition by pk order by {filled} desc, {', '.join(f'{c} desc nulls last' for c in columns)}) = 1"
+
+
+BLANK = "trim({0}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
+RECORDS = f"""bodies as (select cast(b as json) as j from (select trim(body, ' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(65279) || chr(8203) || chr(8204) || chr(8205) || chr(8288)) as b from raw_pages) where json_valid(b)),
+page_rows as (select unnest(case when (j -> 'mediawiki') is not null then {listed("(j -> 'mediawiki' -> 'page')")} when (j -> 'page') is not null then {listed("(j -> 'page')")} else {listed("j")} end) as p from bodies),
+pages as (select {counted("(p -> 'id')")} as page_id, {shown("(p -> 'title')")} as title, {counted("(p -> 'ns')")} as ns, p from page_rows),
+revs as (select page_id, {counted("(r -> 'id')")} as rev_id, r from (select page_id, unnest({listed("(p -> 'revision')")}) as r from pages)),
+people as (select distinct page_id, rev_id, {BLANK.format(shown("(r -> 'contributor' -> 'username')"))} as username, {BLANK.format(shown("(r -> 'contributor' -> 'ip')"))} as ip, {counted("(r -> 'contributor' -> 'id')")} as user_id from revs),
+named as (select *, coalesce(nullif(username, ''), nullif(ip, ''), '') as contributor from people),
+slots as (select page_id, rev_id, 'main' as role, {shown("(r -> 'text')")} as text from revs
+  union all select page_id, rev_id, {BLANK.format(shown("(s -> 'role')"))}, {shown("(s -> 'text')")} from (select page_id, rev_id, unnest(list_concat({listed("(r -> 'slots')")}, {listed("(r -> 'slots' -> 'slot')")})) as s from revs)),
+texts as (select distinct page_id, rev_id, role, text from slots where {BLANK.format("text")} <> '')"""
+KEYS = "'p' || page_id || '/r' || rev_id || '{0}' as pk, 'p' || page_id || '{1}' as parent, page_id, rev_id"
 GROUPED = "'^[+−-]?\\s?\\d{1,3}(?:[ ,''’]\\d{3})+(?:\\D.*)?$'"
 SCALE = "|".join(SCALES)
 RANGE = "'^\\s*(?:\\[[^\\]]*\\]\\s*)?(?:[-–—−/~]|\\.\\.+|to|or|and|until|till|through|bis)\\s*[+−-]?\\d'"
@@ -108,6 +142,12 @@ cells as (select title, column_name, any_value(column_type) as column_type, arg_
 WIDE = {"bigint": ["bridges", "collection", "crew", "elevation_m", "population", "tracks", "visitors"], "double": ["area_km2", "displacement_t", "length_km"], "boolean": ["is_live", "is_protected"], "varchar": ["country", "fate", "founded", "genre", "launched", "mouth", "opened", "released"]}
 
 ORACLE = {
+    "p2_found": f"with {RECORDS} select distinct t.page_id, t.rev_id, n.contributor, t.role from texts t join named n on t.page_id = n.page_id and t.rev_id = n.rev_id",
+    "p2_pages": f"with {RECORDS} select distinct 'p' || page_id as pk, page_id, title, ns from pages",
+    "p2_revisions": f"""with {RECORDS}, rows as (select distinct {KEYS.format("", "")}, {counted("(r -> 'parentid')")} as parentid, {shown("(r -> 'timestamp')")} as timestamp, {shown("(r -> 'format')")} as format, {shown("(r -> 'comment')")} as comment from revs)
+select * from rows {fullest("parentid", "timestamp", "format", "comment")}""",
+    "p2_contributors": f"""with {RECORDS}, rows as (select {KEYS.format("/c", "/r' || rev_id || '")}, username, ip, user_id, contributor from named) select * from rows {fullest("username", "ip", "user_id")}""",
+    "p2_texts": f"with {RECORDS} select distinct 'p' || page_id || '/r' || rev_id || '/t:' || role as pk, 'p' || page_id || '/r' || rev_id as parent, page_id, rev_id, role, text from texts",
     "p5_found": f"with {CELLS} select title, column_name, cell from cells",
     "p5_wide": f"with {CELLS} select l.title, " + ", ".join(f"cast(max(case when column_name = '{c}' then cell end) as {kind}) as {c}" for kind, names in WIDE.items() for c in names) + " from lasts l left join cells c on l.title = c.title group by l.title",
     "p1_found": f"select title, name, valid_from, valid_to from ({PERIODS})",

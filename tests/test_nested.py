@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from pagelathe.operators import nested
@@ -93,3 +95,31 @@ def test_pages_and_revisions_without_id_are_kept_apart(spark):
     assert sorted(people.values()) == ["u1", "u1", "u1", "u2", "u2", "u3", "u4", "u5"]
     assert {r.pk for r in flat.revisions().collect()} == set(people) == {t.parent for t in flat.texts().collect()}
     assert sorted((str(r.page_id), str(r.rev_id), r.contributor) for r in flat.found().collect()) == sorted([("1", "None", u) for u in ("u1", "u2", "u2")] + [("None", "None", u) for u in ("u1", "u1", "u4", "u5")] + [("None", "7", "u3")])
+
+
+def test_bodies_nested_to_any_depth(spark):
+    from pagelathe.functions import jsontext
+
+    depth = 50_000
+    body = '{"title": "A", "id": 1, "x": ' + "[" * depth + "]" * depth + ', "revision": [{"id": 2, "text": "t", "timestamp": "2020"}]}'
+    rows = [tuple(r) for r in nested.flatten_pages(spark.createDataFrame([(body,), (body[:-1],)], "body string")).found().collect()]
+    assert rows == [(1, 2, "", "main")]
+    for text in ('{"a": [1, -2.5e3, true, null, "x\\u00e9", {}, []], "b": {"c": ""}}', " [1 , 2] ", '"s"', "12"):
+        assert jsontext.deep(text.strip()) == json.loads(text)
+    for text in ("[1,]", '{"a" 1}', "[1", "[1]]", "", "NaN", '{"a": }', "[1 2]", '{1: 2}', "]"):
+        with pytest.raises(ValueError):
+            jsontext.deep(text)
+    assert jsontext.loads('{"id": ' + "9" * 5000 + "}")["id"] == "9" * 5000
+
+
+def test_wrapped_revisions_several_people_and_damaged_bodies(spark):
+    rev = lambda n, **k: {"id": n, "text": f"t{n}", **k}
+    bodies = [
+        json.dumps({"title": "A", "id": 1, "revision": {"revision": [rev(1), {"revision": rev(2)}]}}),
+        json.dumps({"title": "B", "id": 2, "revision": [rev(3, contributor=[{"username": "x"}, {"username": "y"}, "z"])]}),
+        '{"title": "C", "id": 3, "revision": {"id": 4, "text": NaN}}', "{broken", "{broken", " ", None,
+    ]
+    flat = nested.flatten_pages(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert {tuple(r) for r in flat.found().collect()} == {(1, 1, "", "main"), (1, 2, "", "main"), (2, 3, "x", "main")}
+    assert {(r.pk, r.contributor) for r in flat.contributors().where("page_id = 2").collect()} == {("p2/r3/c", "x"), ("p2/r3/c1", "y"), ("p2/r3/c2", "z")}
+    assert {tuple(r) for r in flat.refused().collect()} == {("{broken", 2), (bodies[2], 1)}

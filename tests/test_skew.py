@@ -10,12 +10,23 @@ SCHEMA = "shard string, row_no int, page string, revs bigint, links bigint, avg_
 
 
 def test_load_plan_is_even(spark):
-    keys = ["hot"] * 5000 + ["warm"] * 1500 + [f"k{i}" for i in range(1500)] + [None] * 20
+    keys = ["hot"] * 5000 + ["warm"] * 1500 + [f"k{i}" for i in range(1500)] + [None] * 2000
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
     plan = skew.load_plan(df, "k", tasks=8)
     assert len(plan.heavy["hot"]) >= 4
-    loads = Counter(r._task for r in skew.assigned(df, "k", ["i"], plan).collect())
-    assert max(loads.values()) < 1.5 * len(keys) / 8
+    loads = Counter(r._place for r in skew.assigned(df, "k", ["i"], plan).collect())
+    assert max(loads.values()) < 1.5 * len(keys) / 8 and set(loads) <= set(plan.places)
+    placed = skew.assigned(df, "k", ["i"], plan).repartition(8, "_place").groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert max(r["count"] for r in placed) < 1.5 * len(keys) / 8
+
+
+def test_nameless_rows_of_a_heavy_page_are_spread(spark):
+    rows = [(None, None, "a" if i % 2 else None, i, 1, 1, None) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = skew.load_plan(skew.statistics_rows(df).select("page"), "page", tasks=8)
+    loads = Counter(r._place for r in skew.assigned(skew.statistics_rows(df), "page", skew.SPREAD, plan).collect())
+    assert len(loads) == 8 and max(loads.values()) < 1.5 * len(rows) / 8
+    assert [tuple(r) for r in skew.page_results(df, plan).collect()] == [("A", 2000, sum(range(1, 4000, 2)), 3999)]
 
 
 def test_results_match_brute_force(spark):
@@ -46,8 +57,8 @@ def test_nameless_rows_count_by_themselves(spark):
 
 
 def test_join_keeps_every_row(spark):
-    left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 50}", i) for i in range(3000)], "k string, i int")
-    right = spark.createDataFrame([(k, n) for n, k in enumerate(["hot", "hot", *[f"k{i}" for i in range(0, 40)]])], "k string, n int")
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 50}", i) for i in range(3000)] + [(None, i) for i in range(500)], "k string, i int")
+    right = spark.createDataFrame([(k, n) for n, k in enumerate(["hot", "hot", None, *[f"k{i}" for i in range(0, 40)]])], "k string, n int")
     got = skew.fragment_replicate_join(left, right, "k", ["i"])
     want = left.join(right, "k")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
