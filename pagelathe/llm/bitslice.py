@@ -10,20 +10,36 @@ from __future__ import annotations
 import numpy as np
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Bits of a sketch, planes added between two looks at the radius, words worked on at a time.
-BITS, SLICE, UNITS = 512, 128, 2048
+#: Bits of the narrowest sketch, planes added between two looks at the radius, units worked on at a time.
+LEAST, SLICE, UNITS = 256, 128, 2048
 
 
-def parity_sketches(codes: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """(records, bits) of 0 and 1: for each record the parity of its codes in each residue class.
+def width_class(radius: np.ndarray) -> np.ndarray:
+    """How often the narrowest sketch is doubled for these radii: a radius is a quarter of the bits at most, while sets that
+    have nothing in common differ in nearly half of them."""
+    return np.ceil(np.log2(np.maximum(4 * np.asarray(radius) / LEAST, 1)) - 1e-9).astype(np.int64)
+
+
+def parity_sketches(codes: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """(records, bits / 8) bytes: for each record the parity of its codes in each residue class, a bit each.
 
     An element in one of two sets but not the other changes one bit, so the sketches of two sets never differ in more
     bits than the sets in elements: a distance over a radius proves that the sets differ by more than it.
     """
-    m = len(offsets) - 1
-    rows = np.repeat(np.arange(m), np.diff(offsets))
-    at = rows * bits + (codes % np.uint64(bits)).astype(np.int64)
-    return (np.bincount(at, minlength=m * bits).reshape(m, bits) & 1).astype(np.uint8)
+    out = []
+    for low in range(0, len(offsets) - 1, 4096):
+        part = offsets[low : low + 4097]
+        m = len(part) - 1
+        rows = np.repeat(np.arange(m), np.diff(part))
+        at = rows * bits + (codes[part[0] : part[-1]] % np.uint64(bits)).astype(np.int64)
+        out.append(np.packbits((np.bincount(at, minlength=m * bits).reshape(m, bits) & 1).astype(np.uint8), axis=1, bitorder="little"))
+    return np.concatenate(out) if out else np.empty((0, bits // 8), np.uint8)
+
+
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """The same sketches with half as many bits."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
 
 
 def vertical(lanes: np.ndarray) -> np.ndarray:
@@ -77,28 +93,33 @@ def above(counter: list[np.ndarray], radius: np.ndarray) -> np.ndarray:
     return over
 
 
-def within(sketches: np.ndarray, words: np.ndarray, query: np.ndarray, word: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of query and candidate whose sketches differ in no more bits than the lane's radius.
+def stored(sketches: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(bits, words) planes: bit b of the 64 candidates of each word, stored once for all queries."""
+    lanes = np.unpackbits(sketches[words], axis=2, bitorder="little")
+    return vertical(lanes)
+
+
+def within(planes: np.ndarray, sketches: np.ndarray, query: np.ndarray, word: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units and lanes where query and candidate differ in no more bits than the lane's radius.
 
-    sketches: (records, bits). words: (blocks, 64) candidates. A unit compares one query with one word of candidates:
+    planes: as ``stored``; sketches: (records, bits / 8). A unit compares one query with one word of candidates:
     ``query`` and ``word`` say which, ``radii`` (units, 64) has the radius of each lane, negative where there is no
-    candidate. Returns the records of the query and the candidate of each pair found.
+    candidate.
     """
-    found_q, found_c = [], []
+    found_u, found_l = [], []
     most = int(radii.max(initial=0)).bit_length() or 1
     for start in range(0, len(query), UNITS):
-        q, r = query[start : start + UNITS], radii[start : start + UNITS]
-        own, w = np.unique(word[start : start + UNITS], return_inverse=True)
+        q, w, r = query[start : start + UNITS], word[start : start + UNITS], radii[start : start + UNITS]
         valid = vertical((r >= 0).astype(np.uint8)[:, :, None])[0]
         radius = vertical(((np.maximum(r, 0)[:, :, None] >> np.arange(most)) & 1).astype(np.uint8))
         alive, counter = np.flatnonzero(valid), []
-        for low in range(0, sketches.shape[1], SLICE):
+        near = valid[alive]
+        for low in range(0, len(planes), SLICE):
             if not len(alive):
                 break
-            part = sketches[:, low : low + SLICE]
-            stored = vertical(part[words[own]])
-            planes = stored[:, w[alive]] ^ (part[q[alive]].T.astype(np.uint64) * ONES)
-            counter = plus(counter, add(planes)) if counter else add(planes)
+            own = np.unpackbits(sketches[q[alive], low // 8 : (low + SLICE) // 8], axis=1, bitorder="little").T
+            unlike = planes[low : low + SLICE, w[alive]] ^ (own.astype(np.uint64) * ONES)
+            counter = plus(counter, add(unlike)) if counter else add(unlike)
             near = ~above(counter, radius[:, alive]) & valid[alive]
             keep = near != 0
             if not keep.all():
@@ -106,7 +127,7 @@ def within(sketches: np.ndarray, words: np.ndarray, query: np.ndarray, word: np.
         if len(alive):
             bits = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             unit, lane = np.nonzero(bits)
-            found_q.append(q[alive[unit]])
-            found_c.append(words[own[w[alive[unit]]], lane])
+            found_u.append(start + alive[unit])
+            found_l.append(lane)
     none = np.empty(0, np.int64)
-    return (np.concatenate(found_q), np.concatenate(found_c)) if found_q else (none, none)
+    return (np.concatenate(found_u), np.concatenate(found_l)) if found_u else (none, none)

@@ -1,13 +1,15 @@
 """Near-duplicate records with small edits (problem 6): all pairs of records whose token runs overlap enough.
 
 1. Each record becomes the set of its distinct runs of tokens, as sorted codes of CODE_BITS bits. Records with equal sets
-   are one class; only its first member goes on.
+   are one class, named by a hash of the set; one set of each class goes on under this name. An id that comes with
+   several different sets is in several classes, and is alike another if any of its sets is.
 2. Runs are put in one order for all records, rare ones first. Two sets that overlap enough share a run among the first
    few of each, so each record is posted under these runs only, and records posted under the same run form a block.
    The blocks lose no pair. The posting list of a frequent run is cut into groups, and each pair of groups is a block.
-3. In a block, the parity sketches of all members are compared by bit slices (``bitslice``); blocks of 64 candidates are
-   abandoned once all exceed the radius. A sketch never exaggerates the difference of two sets, so no pair is lost.
-   What remains is checked on the sets themselves.
+   Runs whose lists prove long unexpectedly are moved back in the order by their true counts, and the records posted anew.
+3. In a block, the parity sketches of all members are compared by bit slices (``bitslice``), stored as planes of 64
+   candidates a word; words are abandoned once all lanes exceed the radius. Sketches are as wide as the sets are large. A
+   sketch never exaggerates the difference of two sets, so no pair is lost. What remains is checked on the sets themselves.
 """
 
 from __future__ import annotations
@@ -30,10 +32,13 @@ CODE_BITS = 40
 CODE_BYTES = CODE_BITS // 8
 #: Records a batch of postings makes at most per bucket task, members a block has at most in each of its two groups.
 BUCKET_POSTINGS, GROUP = 3_000_000, 4096
-#: A run is frequent from so many records of one batch on; so many of the most frequent runs are ordered by their counts.
+#: A run is frequent from so many records of one batch on; so many of the most frequent runs are ordered by their counts,
+#: and besides those found in over two groups of records, at most one for every 2 * GROUP postings.
 LOCAL_COUNT, FREQUENT = 2, 1 << 17
 #: Ids up to this number are told to all tasks, to leave out sets where they lie; with more, a join does it.
 TOLD = 1 << 20
+#: How often records are posted at most, while runs prove frequent; what is frequent after that is cut where it lies.
+TURNS = 4
 #: Runs that two sets must share among their first ones; each set is posted under as many more runs.
 SHARED = 3
 
@@ -75,7 +80,7 @@ class Rule:
 
 # --- sets -------------------------------------------------------------------------------------------------------------
 
-SETS = "kind int, id bigint, n int, c1 bigint, c2 bigint, codes binary"
+SETS = "kind int, id bigint, n int, class bigint, codes binary"
 
 
 def token_codes(values: pa.Array) -> np.ndarray:
@@ -136,7 +141,7 @@ def ordered_tokens(tokens: pa.Array, positions: pa.Array | None) -> tuple[np.nda
 
 def run_table(records: DataFrame, kind: int, rule: Rule) -> DataFrame:
     """The set of each record, and under ``kind`` -1 - kind the frequent runs of each batch (``id``: code, ``n``: records)."""
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("codes", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("codes", pa.binary())])
     placed = "positions" in records.columns
     records = records.select("id", "tokens", *["positions"] * placed)
 
@@ -149,13 +154,14 @@ def run_table(records: DataFrame, kind: int, rule: Rule) -> DataFrame:
             if len(good):
                 low, high = offsets[good], offsets[good + 1]
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(codes, m))]) for m in (M2, M1)]
-                c1, c2 = ((s[high] - s[low]).view(np.int64) for s in sums)
+                one, two = (s[high] - s[low] for s in sums)
+                named = mix(one ^ mix(two)).view(np.int64)
                 raw = [packed(codes[a:b]) for a, b in zip(low, high)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), kind, np.int32)), batch.column(0).take(pa.array(good)), pa.array(n[good].astype(np.int32)), pa.array(c1), pa.array(c2), pa.array(raw, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), kind, np.int32)), batch.column(0).take(pa.array(good)), pa.array(n[good].astype(np.int32)), pa.array(named), pa.array(raw, pa.binary())], schema=schema)
                 known, counts = np.unique(codes, return_counts=True)
                 often = counts >= LOCAL_COUNT
                 m = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1 - kind, np.int32)), pa.array(known[often].astype(np.int64)), pa.array(counts[often].astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1 - kind, np.int32)), pa.array(known[often].astype(np.int64)), pa.array(counts[often].astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=schema)
 
     return records.mapInArrow(run, SETS)
 
@@ -170,21 +176,33 @@ def frequent_runs(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["id"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """``kind, c1, c2, first, members``: each class of equal sets with its smallest id and its number of ids."""
-    return sets.groupBy("kind", "c1", "c2").agg(F.min("id").alias("first"), F.count_distinct("id").alias("members"))
+@dataclass(frozen=True)
+class Found:
+    """Written tables. pairs: ``kind, class_a, class_b, common, of_all``, classes alike. owners: ``kind, class, id``, the ids of
+    each class. copies: ``kind, class, id, first``, the same of classes with several ids, with the smallest."""
+
+    pairs: DataFrame
+    owners: DataFrame
+    copies: DataFrame
+
+    def classes(self) -> DataFrame:
+        """``kind, class, first``"""
+        return self.owners.groupBy("kind", "class").agg(F.min("id").alias("first"))
+
 
+def one_of_each(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One set of each class (``kind, id, n, codes``; id: the class), the owners and the copies.
 
-def firsts(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of the first member of each class, and the copies (``kind, id, first``) whose sets are left out."""
-    ids = sets.select("kind", "id", "c1", "c2").distinct()
-    first = F.min("id").over(Window.partitionBy("kind", "c1", "c2")).alias("first")
-    first = classes(sets).where("members > 1").select("kind", "c1", "c2", "first")
-    copies = written(ids.join(first, ["kind", "c1", "c2"]).where("id <> first").select("kind", "id", "first"), "copies")
-    left_out = copies.select("kind", "id")
-    if copies.count() <= TOLD:
+    Sets that are left out are told to all tasks, so that no other set moves; a set delivered again stays, with the same name.
+    """
+    owners = written(sets.select("kind", "class", "id").distinct(), "owners")
+    several = owners.groupBy("kind", "class").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    copies = written(owners.join(several, ["kind", "class"]).select("kind", "class", "id", "first"), "copies")
+    left_out = copies.where("id <> first").select("kind", "class", "id")
+    if left_out.count() <= TOLD:
         left_out = F.broadcast(left_out)
-    return sets.join(left_out, ["kind", "id"], "left_anti"), copies
+    kept = sets.join(left_out, ["kind", "class", "id"], "left_anti")
+    return kept.select("kind", F.col("class").alias("id"), "n", "codes"), owners, copies
 
 
 POSTINGS = "bucket int, kind int, m int, keys binary, ids binary, sizes binary, places binary, groups binary"
@@ -247,7 +265,7 @@ def postings(sets: DataFrame, rule: Rule, buckets: int, frequent) -> DataFrame:
 
 
 BLOCKS = "kind int, block bigint, id bigint, side int, common int, need int, ok int"
-STAR = 3
+STAR, HOT = 3, 4
 
 
 def stars(ids, n, place, side, start, size, rule: Rule):
@@ -302,8 +320,11 @@ def whole(ids, side, start, size):
         yield np.repeat(block, size).view(np.int64), ids[at], side[at], *[np.ones(len(at), np.int64)] * 3
 
 
-def blocks(posted: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """Members of each block (``whole``; ``side`` 1 is compared with 2, 0 with any) and records that may be alike (``stars``)."""
+def blocks(posted: DataFrame, rule: Rule, buckets: int, last: bool) -> DataFrame:
+    """Members of each block (``whole``; ``side`` 1 is compared with 2, 0 with any) and records that may be alike (``stars``).
+
+    Lists longer than two groups are only counted (``side`` HOT, ``block``: the run, ``common``: records), unless ``last``.
+    """
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("id", pa.int64()), *[(c, pa.int32()) for c in ("side", "common", "need", "ok")]])
 
     def run(batches):
@@ -321,6 +342,12 @@ def blocks(posted: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(start, len(keys)))
             small = (size > 1) & (size <= 64)
+            if not last and (long := size > 2 * GROUP).any():
+                runs = keys[start[long]].astype(np.int64)
+                m = len(runs)
+                zero = pa.array(np.zeros(m, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(runs), pa.array(np.zeros(m, np.int64)), pa.array(np.full(m, HOT, np.int32)), pa.array(size[long].astype(np.int32)), zero, zero], schema=schema)
+                start, size, small = start[~long], size[~long], small[~long]
             out = chain(stars(ids, n, place, side, start[small], size[small], rule), whole(ids, side, start[size > 64], size[size > 64]))
             for block, member, *more in out:
                 for low in range(0, len(block), 1 << 16):
@@ -330,6 +357,11 @@ def blocks(posted: DataFrame, rule: Rule, buckets: int) -> DataFrame:
     return posted.repartitionById(buckets, "bucket").mapInArrow(run, BLOCKS)
 
 
+def posted_blocks(sets: DataFrame, rule: Rule, buckets: int, frequent: tuple[np.ndarray, np.ndarray], last: bool) -> DataFrame:
+    told = sets.sparkSession.sparkContext.broadcast(frequent)
+    return written(blocks(postings(sets, rule, buckets, told), rule, buckets, last), "blocks")
+
+
 def block_members(found: DataFrame) -> DataFrame:
     """``kind, block, id, side``: blocks of whole lists, and one block of each record with those it may be alike.
 
@@ -345,7 +377,51 @@ def block_members(found: DataFrame) -> DataFrame:
 
 # --- comparison -------------------------------------------------------------------------------------------------------
 
-PAIRS = "kind int, id_a bigint, id_b bigint, common int, of_all int"
+PAIRS = "kind int, class_a bigint, class_b bigint, common int, of_all int"
+#: Bytes of planes made at a time; codes checked at a time.
+PLANE_BYTES, CHECKED = 1 << 26, 1 << 21
+#: Bytes of sets from which blocks are compared without waiting for more.
+HELD_BYTES = 1 << 26
+
+
+def sketched(sets: list[np.ndarray], width: np.ndarray) -> list[np.ndarray]:
+    """By width class: (records, bytes) sketches of the records of at least this class, the wider ones folded; zeros for others."""
+    out: list[np.ndarray] = []
+    wider = None
+    for k in range(int(width.max(initial=0)), -1, -1):
+        bits = bitslice.LEAST << k
+        now = np.zeros((len(sets), bits // 8), np.uint8)
+        if wider is not None:
+            now[:] = bitslice.folded(wider)
+        own = np.flatnonzero(width == k)
+        if len(own):
+            codes = np.concatenate([sets[i] for i in own])
+            now[own] = bitslice.parity_sketches(codes, np.concatenate([[0], np.cumsum([len(sets[i]) for i in own])]), bits)
+        out.append(now)
+        wider = now
+    return out[::-1]
+
+
+def common_runs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many codes the sets of each pair share: the smaller one's are looked up in all sets, keyed by record."""
+    n = np.array([len(s) for s in sets], np.int64)
+    keyed = np.concatenate(sets) | (np.repeat(np.arange(len(sets), dtype=np.uint64), n) << np.uint64(CODE_BITS))
+    start = np.concatenate([[0], np.cumsum(n)])
+    swap = n[a] > n[b]
+    less, more = np.where(swap, b, a), np.where(swap, a, b)
+    out = np.zeros(len(a), np.int64)
+    edges = np.concatenate([[0], np.cumsum(n[less])])
+    low = 0
+    while low < len(less):
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + CHECKED, side="right")) - 1)
+        m = n[less[low:high]]
+        pair = np.repeat(np.arange(low, high), m)
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + start[less[pair]]
+        wanted = (keyed[at] & np.uint64((1 << CODE_BITS) - 1)) | (more[pair].astype(np.uint64) << np.uint64(CODE_BITS))
+        place = np.minimum(np.searchsorted(keyed, wanted), len(keyed) - 1)
+        out[low:high] = np.bincount(pair - low, keyed[place] == wanted, high - low)
+        low = high
+    return out
 
 
 def compare(kind: int, ids: np.ndarray, block: np.ndarray, side: np.ndarray, raw: list[bytes], rule: Rule) -> list[tuple]:
@@ -353,7 +429,8 @@ def compare(kind: int, ids: np.ndarray, block: np.ndarray, side: np.ndarray, raw
     uid, first, rec = np.unique(ids, return_index=True, return_inverse=True)
     sets = [unpacked(raw[i]) for i in first]
     n = np.array([len(s) for s in sets], np.int64)
-    sketches = bitslice.parity_sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    width = bitslice.width_class(rule.radius(n, n))
+    sketches = sketched(sets, width)
     start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     size = np.diff(np.append(start, len(block)))
     # words of 64 candidates, units of a query with each word that holds a later member of its block
@@ -364,9 +441,11 @@ def compare(kind: int, ids: np.ndarray, block: np.ndarray, side: np.ndarray, raw
     inside = word_no[:, None] * 64 + np.arange(64) < size[word_block][:, None]
     lane = np.where(inside, lane, 0)
     words = rec[lane]
-    pairs: set[tuple[int, int]] = set()
-    for low in range(0, len(words), 512):
-        w = np.arange(low, min(low + 512, len(words)))
+    pairs: list[np.ndarray] = [np.empty(0, np.int64)]
+    step = max(1, min(512, PLANE_BYTES // (8 * (bitslice.LEAST << len(sketches) - 1))))
+    for low in range(0, len(words), step):
+        w = np.arange(low, min(low + step, len(words)))
+        planes: dict[int, np.ndarray] = {}
         queries = np.minimum((word_no[w] + 1) * 64, size[word_block[w]])
         unit_word = np.repeat(w, queries)
         q_at = np.arange(len(unit_word)) - np.repeat(np.cumsum(queries) - queries, queries) + start[word_block[unit_word]]
@@ -376,20 +455,25 @@ def compare(kind: int, ids: np.ndarray, block: np.ndarray, side: np.ndarray, raw
             valid = inside[uw] & (lane[uw] > qa[:, None]) & (c != q[:, None]) & (n[c] * rule.similarity <= n[q][:, None] + 1e-9) & (n[q][:, None] * rule.similarity <= n[c] + 1e-9)
             valid &= (side[lane[uw]] == 0) | (side[lane[uw]] != side[qa][:, None])
             radii = np.where(valid, rule.radius(n[c], n[q][:, None]), -1)
-            pairs.update(zip(*(x.tolist() for x in bitslice.within(sketches, words, q, uw, radii))))
-    out = []
-    for q, c in {(min(p), max(p)) for p in pairs}:
-        common = len(np.intersect1d(sets[q], sets[c], assume_unique=True))
-        union = int(n[q] + n[c]) - common
-        if common >= rule.similarity * union - 1e-9:
-            out.append((kind, int(uid[q]), int(uid[c]), common, union))
-    return out
+            # the narrowest sketch of those compared
+            narrow = np.minimum(width[q], np.where(valid, width[c], 99).min(axis=1))
+            for k in np.unique(narrow[valid.any(axis=1)]):
+                unit = np.flatnonzero((narrow == k) & valid.any(axis=1))
+                if k not in planes:
+                    planes[k] = bitslice.stored(sketches[k], words[w])
+                u, at = bitslice.within(planes[k], sketches[k], q[unit], uw[unit] - low, radii[unit])
+                x, y = q[unit[u]], c[unit[u], at]
+                pairs.append(np.minimum(x, y) * len(sets) + np.maximum(x, y))
+    a, b = np.divmod(np.unique(np.concatenate(pairs)), len(sets))
+    common = common_runs(sets, a, b)
+    union = n[a] + n[b] - common
+    good = common >= rule.similarity * union - 1e-9
+    return [(kind, *row) for row in zip(uid[a[good]].tolist(), uid[b[good]].tolist(), common[good].tolist(), union[good].tolist())]
 
 
 def alike(members: DataFrame, sets: DataFrame, rule: Rule, tasks: int) -> DataFrame:
-    """Pairs of first members that are alike: ``kind, id_a, id_b`` and the sizes of their common part and union."""
-    schema = pa.schema([("kind", pa.int32()), ("id_a", pa.int64()), ("id_b", pa.int64()), ("common", pa.int32()), ("of_all", pa.int32())])
-    # ids delivered more than once may have several sets; each is compared
+    """Pairs of classes that are alike: ``kind, class_a, class_b`` and the sizes of their common part and union."""
+    schema = pa.schema([("kind", pa.int32()), ("class_a", pa.int64()), ("class_b", pa.int64()), ("common", pa.int32()), ("of_all", pa.int32())])
     rows = members.join(sets.select("kind", "id", "n", "codes"), ["kind", "id"]).select("kind", "block", "side", "n", "id", "codes")
     rows = rows.repartition(tasks, "kind", "block").sortWithinPartitions("kind", "block", "side", "n", "id")
 
@@ -401,21 +485,22 @@ def alike(members: DataFrame, sets: DataFrame, rule: Rule, tasks: int) -> DataFr
         return out
 
     def run(batches):
-        held, rows, last = [], 0, None
+        held, rows, codes, last = [], 0, 0, None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             # whole blocks are compared together: what follows the last edge waits
             names = t["block"].to_numpy()
-            if rows + len(names) > 30_000:
+            if rows + len(names) > 30_000 or codes > HELD_BYTES:
                 edge = np.flatnonzero(np.concatenate([[last is not None and names[0] != last], names[1:] != names[:-1]]))
                 if len(edge):
                     held.append(t.slice(0, edge[-1]))
                     out = done(held)
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
-                    held, rows, t = [], 0, t.slice(edge[-1])
+                    held, rows, codes, t = [], 0, 0, t.slice(edge[-1])
             held.append(t)
             rows += len(t)
+            codes += pc.sum(t["n"]).as_py() * CODE_BYTES
             last = names[-1]
         out = done(held) if rows else []
         if out:
@@ -424,16 +509,15 @@ def alike(members: DataFrame, sets: DataFrame, rule: Rule, tasks: int) -> DataFr
     return rows.mapInArrow(run, PAIRS)
 
 
-def near_duplicates(tables: list[DataFrame], rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All pairs alike within each table.
+def near_duplicates(tables: list[DataFrame], rule: Rule) -> Found:
+    """All pairs alike within each table (``kind``: the table's number).
 
     tables: ``id bigint, tokens array<string> [, positions array<int>]`` or ``id, tokens array<array<string>>``.
-    Returns written tables: pairs of first members (``kind, id_a, id_b, common, of_all``, kind: the table's number), the
-    copies (``kind, id, first``: an id whose set equals that of a smaller one), and the ids of all sets (``kind, id``).
 
-    Null and empty lists, null tokens and records under the rule's least size have no set; rows delivered again are
-    compared once per different set, their pairs reported once. Records of any length are compared whole. No pair is
-    lost but by a clash of 40-bit codes, which can only add a common run (for two sets of 100, one in 10^8).
+    Null and empty lists, null tokens and records under the rule's least size have no set. An id delivered again with the
+    same set counts once; with another set it is in both sets' classes, and each is compared. Records of any length are
+    compared whole. No pair is lost but by a clash of 40-bit codes, which can only add a common run (for two sets of 100,
+    one in 10^8), or by two different sets with one 64-bit name (of a billion sets, one pair with a chance of 3 %).
     """
     spark = tables[0].sparkSession
     table = run_table(tables[0], 0, rule)
@@ -441,45 +525,62 @@ def near_duplicates(tables: list[DataFrame], rule: Rule) -> tuple[DataFrame, Dat
         table = table.unionByName(run_table(t, kind, rule))
     table = written(table, "sets")
     sets = table.where("kind >= 0")
-    frequent = spark.sparkContext.broadcast(frequent_runs(table))
-    one, copies = firsts(sets)
+    frequent = frequent_runs(table)
+    one, owners, copies = one_of_each(sets)
     total = sets.agg(F.sum(F.col("n"))).first()[0] or 0
     tasks = max(parallelism(spark), 1)
     buckets = max(tasks, math.ceil(total * (1 - rule.similarity) / BUCKET_POSTINGS))
-    members = block_members(written(blocks(postings(one, rule, buckets, frequent), rule, buckets), "blocks"))
+    for turn in range(TURNS):
+        found = posted_blocks(one, rule, buckets, frequent, last=turn == TURNS - 1)
+        hot = found.where(F.col("side") == HOT).groupBy("block").agg(F.max("common").alias("n")).toPandas()
+        if not len(hot):
+            break
+        # runs that no batch showed to be frequent: they are put in order by their counts, and all records posted anew
+        known = dict(zip(frequent[0].tolist(), frequent[1].tolist()))
+        for code, n in zip(hot["block"].tolist(), hot["n"].tolist()):
+            known[code] = max(known.get(code, 0), n)
+        frequent = np.array(sorted(known), np.uint64), np.array([known[c] for c in sorted(known)], np.int64)
+    members = block_members(found)
     ids = members.select("kind", "id").distinct()
     if ids.count() <= TOLD:
         one = one.join(F.broadcast(ids), ["kind", "id"], "left_semi")
-    pairs = alike(members, one, rule, max(tasks, buckets)).groupBy("kind", "id_a", "id_b").agg(F.max("common").alias("common"), F.min("of_all").alias("of_all"))
-    return written(pairs, "pairs"), copies, sets.select("kind", "id").distinct()
-
-
-def all_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
-    """``kind, id_a, id_b`` of every two ids alike: pairs of first members, with their copies in their place, and copies among themselves."""
-    groups = copies.groupBy("kind", "first").agg(F.collect_set("id").alias("others"))
-    side = lambda c: F.concat(F.array(c), F.coalesce("others", F.array().cast("array<bigint>")))
-    a = pairs.select("kind", "id_a", "id_b").join(groups.withColumnRenamed("first", "id_a"), ["kind", "id_a"], "left").select("kind", "id_b", F.explode(side("id_a")).alias("a"))
-    b = a.join(groups.withColumnRenamed("first", "id_b"), ["kind", "id_b"], "left").select("kind", "a", F.explode(side("id_b")).alias("b"))
-    same = copies.select("kind", "first", F.col("id").alias("b")).join(groups, ["kind", "first"]).select("kind", F.explode(side("first")).alias("a"), "b")
-    ends = b.unionByName(same).where("a <> b")
+    pairs = alike(members, one, rule, max(tasks, buckets)).groupBy("kind", "class_a", "class_b").agg(F.max("common").alias("common"), F.min("of_all").alias("of_all"))
+    return Found(written(pairs, "pairs"), owners, copies)
+
+
+def all_pairs(found: Found) -> DataFrame:
+    """``kind, id_a, id_b`` of every two ids alike: the ids of classes alike, and those of one class among themselves."""
+    a = found.owners.select("kind", F.col("class").alias("class_a"), F.col("id").alias("a"))
+    b = found.owners.select("kind", F.col("class").alias("class_b"), F.col("id").alias("b"))
+    across = found.pairs.select("kind", "class_a", "class_b").join(a, ["kind", "class_a"]).join(b, ["kind", "class_b"]).select("kind", "a", "b")
+    copies = found.copies.select("kind", "class", F.col("id").alias("a"))
+    same = copies.join(found.copies.select("kind", "class", F.col("id").alias("b")), ["kind", "class"]).where("a < b").select("kind", "a", "b")
+    ends = across.unionByName(same).where("a <> b")
     return ends.select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
-def members(pairs: DataFrame, copies: DataFrame, ids: DataFrame) -> DataFrame:
-    """``kind, id, class_id, links``: the smallest id with an equal set, and how many other classes this one is alike."""
-    ends = pairs.select("kind", F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("kind", "class_id").agg(F.count(F.lit(1)).alias("links"))
-    classed = ids.join(copies, ["kind", "id"], "left").select("kind", "id", F.coalesce("first", "id").alias("class_id"))
-    return classed.join(ends, ["kind", "class_id"], "left").select("kind", "id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+def members(found: Found) -> DataFrame:
+    """``kind, id, class_id, links``: the smallest id with an equal set, and how many other classes this one is alike.
+
+    Of an id with several sets: the smallest of these ids, and the links of all its classes.
+    """
+    ends = found.pairs.select("kind", F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("kind", "class").agg(F.count(F.lit(1)).alias("links"))
+    classed = found.owners.join(found.classes(), ["kind", "class"]).join(ends, ["kind", "class"], "left")
+    return classed.groupBy("kind", "id").agg(F.min("first").alias("class_id"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
 
 
-def groups(pairs: DataFrame, copies: DataFrame, ids: DataFrame) -> DataFrame:
+def groups(found: Found) -> DataFrame:
     """``kind, id, group_id``: the smallest id that can be reached over pairs and copies.
 
     Edges are turned to the smallest neighbour in turns from larger and from smaller ends, until none changes; no node's
     neighbours are ever collected, and the number of turns follows the logarithm of the longest path.
     """
-    edges = pairs.select("kind", F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
-    edges = written(edges.unionByName(copies.select("kind", F.col("id").alias("u"), F.col("first").alias("v"))).distinct(), "edges")
+    first = found.classes()
+    a, b = first.select("kind", F.col("class").alias("class_a"), F.col("first").alias("a")), first.select("kind", F.col("class").alias("class_b"), F.col("first").alias("b"))
+    pairs = found.pairs.join(a, ["kind", "class_a"]).join(b, ["kind", "class_b"]).where("a <> b")
+    edges = pairs.select("kind", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = written(edges.unionByName(found.copies.where("id <> first").select("kind", F.col("id").alias("u"), F.col("first").alias("v"))).distinct(), "edges")
+    ids = found.owners.select("kind", "id").distinct()
     mark = F.sum(F.xxhash64("kind", "u", "v").cast("decimal(38,0)"))
     before = None
     while before != (now := tuple(edges.agg(F.count(F.lit(1)), mark).first())):

@@ -24,8 +24,7 @@ def token_tables(spark, d: str) -> list[DataFrame]:
 
 
 def p6_found(spark, d: str) -> DataFrame:
-    pairs, copies, _ = neardup.near_duplicates(token_tables(spark, d), EDITS)
-    return neardup.all_pairs(pairs, copies).selectExpr(KINDS, "id_a", "id_b")
+    return neardup.all_pairs(neardup.near_duplicates(token_tables(spark, d), EDITS)).selectExpr(KINDS, "id_a", "id_b")
 
 
 def p7_assignment(spark, d: str) -> DataFrame:
@@ -48,8 +47,8 @@ def p9_levels(spark, d: str) -> DataFrame:
 
 QUERIES = {
     "p6_found": p6_found,
-    "p6_members": lambda s, d: neardup.members(*neardup.near_duplicates(token_tables(s, d), EDITS)).selectExpr(KINDS, "id", "class_id", "links"),
-    "p6_groups": lambda s, d: neardup.groups(*neardup.near_duplicates(token_tables(s, d), EDITS)).selectExpr(KINDS, "id", "group_id"),
+    "p6_members": lambda s, d: neardup.members(neardup.near_duplicates(token_tables(s, d), EDITS)).selectExpr(KINDS, "id", "class_id", "links"),
+    "p6_groups": lambda s, d: neardup.groups(neardup.near_duplicates(token_tables(s, d), EDITS)).selectExpr(KINDS, "id", "group_id"),
     "p7_assignment": p7_assignment,
     "p7_use": p7_use,
     "p8_mixture": lambda s, d: mixed(s, d)[0],
