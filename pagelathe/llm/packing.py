@@ -1,8 +1,8 @@
 """Texts of varying length in containers of fixed capacity (problem 7).
 
 Sizes are whole numbers up to the capacity, so an instance is its histogram: how many items there are of each size. The
-reduction of Martello and Toth fixes small sets of items that dominate whatever else could be packed with their largest
-item; what remains is packed by best fit, largest first. Both work on whole classes of equal items and yield patterns
+reduction of Martello and Toth fixes sets of one, two or three items that dominate whatever else could be packed with one of
+them, and is repeated on the instance that is left until it fixes nothing; what remains is packed by best fit, largest first. Both work on whole classes of equal items and yield patterns
 (so many containers with these sizes), whose number follows the capacity, not the number of texts. Items then find
 their containers by their rank within their size.
 """
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Parts by which the items of one size are numbered, so that none gets all items of a size.
-PARTS = 64
+#: Items of one size that are numbered in one task, about; a size with more is numbered by parts.
+PART_ROWS = 1_000_000
 
 #: ``(containers, {size: items in each})``
 Pattern = tuple[int, dict[int, int]]
@@ -37,11 +37,6 @@ class Histogram:
             del self.counts[size]
             del self.sizes[bisect_left(self.sizes, size)]
 
-    def at_most(self, room: int) -> int | None:
-        """The largest size that fits."""
-        i = bisect_right(self.sizes, room)
-        return self.sizes[i - 1] if i else None
-
     def smallest(self, n: int, but: int) -> int:
         """Sum of the n smallest items besides one of size ``but``; very large if there are fewer."""
         total = 0
@@ -53,6 +48,24 @@ class Histogram:
                 return total
         return 1 << 60
 
+    def least_above(self, size: int, n: int, but: int) -> int:
+        """Sum of the n smallest items larger than ``size`` besides one of size ``but``; very large if there are fewer."""
+        total = 0
+        for s in self.sizes[bisect_right(self.sizes, size) :]:
+            k = min(n, self.counts[s] - (s == but))
+            total += k * s
+            n -= k
+            if not n:
+                return total
+        return 1 << 60
+
+    def fitting(self, room: int, used: tuple[int, ...]) -> int | None:
+        """The largest size that fits of which more items are left than are ``used``."""
+        i = bisect_right(self.sizes, room) - 1
+        while i >= 0 and self.counts[self.sizes[i]] <= used.count(self.sizes[i]):
+            i -= 1
+        return self.sizes[i] if i >= 0 else None
+
 
 def best_pair(h: Histogram, room: int, but: int) -> tuple[int, int] | None:
     """The two items with the largest sum within ``room``, besides one of size ``but``; of equal sums the one with the largest item."""
@@ -69,46 +82,70 @@ def best_pair(h: Histogram, room: int, but: int) -> tuple[int, int] | None:
     return found
 
 
-def reduce(h: Histogram, capacity: int) -> list[Pattern]:
-    """Fix dominating sets, from the largest size down; ``h`` keeps the items that no set was found for.
+def dominating(h: Histogram, j: int, capacity: int) -> tuple[int, ...] | None:
+    """The set with an item of size j that dominates all others with it, if the tests of the procedure show one.
 
-    For a size j: if nothing fits beside it, it is alone. If at most one item fits, the largest that fits dominates. If
-    at most two fit, the largest single item b dominates if no pair has a larger sum than b; a pair of equal sum c and
-    capacity that fills the container is dominated by nothing. An item that fills the container exactly always dominates.
+    Nothing fits beside j: j alone. Otherwise b is the largest item that fits. If it fills the container, or only one item
+    can be added: {j, b}. If two can be added but not three: {j, b} if no pair has a larger sum than b; else {j, b, c}, c
+    the largest item that fits beside both, if no two items larger than c fit beside j: then any pair that fits has its
+    larger item at most b and its smaller one at most c.
     """
+    room = capacity - j
+    b = h.fitting(room, (j,))
+    if b is None:
+        return (j,)
+    if b == room or h.smallest(2, j) > room:
+        return j, b
+    if h.smallest(3, j) <= room:
+        return None
+    pair = best_pair(h, room, j)
+    if pair is None or sum(pair) <= b:
+        return j, b
+    c = h.fitting(room - b, (j, b))
+    if c is not None and h.least_above(c, 2, j) > room:
+        return j, b, c
+    return None
+
+
+def reduce(h: Histogram, capacity: int) -> list[Pattern]:
+    """Fix dominating sets, from the largest size down, again and again until none is found; ``h`` keeps the items of no set."""
     fixed: list[Pattern] = []
-    for j in reversed(list(h.sizes)):
-        while h.counts.get(j, 0):
-            room = capacity - j
-            h_j = h.counts[j]
-            if h.smallest(1, j) > room:
-                fixed.append((h_j, {j: 1}))
-                h.take(j, h_j)
-                break
-            b = h.at_most(room)
-            if b == j and h_j < 2:
-                i = bisect_left(h.sizes, j)
-                b = h.sizes[i - 1]
-            exact = b == room
-            one = h.smallest(2, j) > room
-            if not (exact or one):
-                if h.smallest(3, j) <= room:
-                    break
-                pair = best_pair(h, room, j)
-                if pair is not None and sum(pair) > b:
-                    break
-            if b == j:
-                n = h_j // 2
-                fixed.append((n, {j: 2}))
-                h.take(j, 2 * n)
-            else:
-                n = min(h_j, h.counts[b])
-                fixed.append((n, {j: 1, b: 1}))
-                h.take(j, n)
-                h.take(b, n)
+    found = True
+    while found:
+        found = False
+        for j in reversed(list(h.sizes)):
+            while h.counts.get(j, 0) and (chosen := dominating(h, j, capacity)):
+                inside = {s: chosen.count(s) for s in chosen}
+                n = min(h.counts[s] // k for s, k in inside.items())
+                fixed.append((n, inside))
+                for s, k in inside.items():
+                    h.take(s, n * k)
+                found = True
     return fixed
 
 
+def bound(counts: dict[int, int], capacity: int) -> int:
+    """Containers that any packing needs at least: items over half the capacity need one each, and for each size k what is
+    over capacity - k leaves no room for items from k up to half the capacity."""
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    best = 0
+    for k in [0, *sizes[sizes <= capacity // 2].tolist()]:
+        large, middle, small = sizes > capacity - k, (sizes > capacity // 2) & (sizes <= capacity - k), (sizes >= k) & (sizes <= capacity // 2)
+        left = (n[small] * sizes[small]).sum() - (n[middle] * (capacity - sizes[middle])).sum()
+        best = max(best, int(n[large].sum() + n[middle].sum() + max(0, -(-left // capacity))))
+    return best
+
+
+def worth(counts: dict[int, int], capacity: int) -> dict[str, int]:
+    """What the reduction is good for: items and containers it fixes, containers in all, with best fit alone, and at least."""
+    h = Histogram(counts)
+    fixed = reduce(h, capacity)
+    total = lambda patterns: sum(n for n, _ in patterns)
+    inside = sum(n * sum(x.values()) for n, x in fixed)
+    return {"items": sum(counts.values()), "fixed_items": inside, "fixed_containers": total(fixed), "containers": total(fixed) + total(best_fit(h, capacity)), "best_fit_alone": total(best_fit(Histogram(counts), capacity)), "at_least": bound(counts, capacity)}
+
+
 def best_fit(h: Histogram, capacity: int) -> list[Pattern]:
     """Best fit, largest first: each item into the open container with the least room that takes it."""
     rooms: list[int] = []
@@ -183,24 +220,37 @@ def packed(sizes: DataFrame, capacity: int) -> DataFrame:
 
     A text of up to ``capacity`` tokens is one item, part 0; a longer one fills containers and leaves a rest. Texts
     without tokens go to container 0. Ids may repeat: each row is an item of its own. An empty table gives no rows.
-    The driver gets, for each size, the numbers of items by part: at most ``PARTS * capacity`` rows, whatever the data.
+    The driver gets the number of items of each size, and of sizes with over ``PART_ROWS`` items that of each part: a row
+    per size and one per ``PART_ROWS`` items.
     """
     spark = sizes.sparkSession
-    rows = items(sizes, capacity).withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(PARTS)).cast("int"))
-    counts = rows.groupBy("tokens", "slice").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["tokens", "slice"])
-    before = counts.groupby("tokens")["n"].cumsum() - counts["n"]
-    starts = {(s, p): b for s, p, b in zip(counts["tokens"].tolist(), counts["slice"].tolist(), before.tolist())}
-    totals = counts[counts["tokens"] > 0].groupby("tokens")["n"].sum()
-    table, _ = places(pack({int(s): int(n) for s, n in totals.items()}, capacity))
-    told = spark.sparkContext.broadcast((starts, table))
+    rows = items(sizes, capacity)
+    counts = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("tokens")
+    size, n = counts["tokens"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    table, _ = places(pack({int(s): int(k) for s, k in zip(size, n) if s > 0}, capacity))
+    parts = -(-n // PART_ROWS)
+    large = [(int(s), int(k)) for s, k in zip(size, parts) if k > 1]
+    slices, before = np.empty(0, np.int64), np.zeros(1, np.int64)
+    if large:
+        cut = F.broadcast(spark.createDataFrame(large, "tokens bigint, parts int"))
+        rows = rows.join(cut, "tokens", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("doc_id", "part"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        sliced = rows.where(F.col("tokens").isin([s for s, _ in large])).groupBy("tokens", "slice").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["tokens", "slice"])
+        slices = (sliced["tokens"].to_numpy(np.int64) << 24) | sliced["slice"].to_numpy(np.int64)
+        before = (sliced.groupby("tokens")["n"].cumsum() - sliced["n"]).to_numpy(np.int64)
+    else:
+        rows = rows.withColumn("slice", F.lit(0))
+    told = spark.sparkContext.broadcast((slices, before, table))
     numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("tokens", "slice").orderBy("doc_id", "part")) - 1)
 
     def run(batches):
-        starts, table = told.value
+        slices, before, table = told.value
         keys = table[:, 0] << 40 | table[:, 1]
         for batch in batches:
-            size, part, r = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
-            rank = r + np.fromiter((starts[k] for k in zip(size.tolist(), part.tolist())), np.int64, len(size))
+            size, part, rank = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
+            if len(slices):
+                key = size << 24 | part
+                k = np.minimum(np.searchsorted(slices, key), len(slices) - 1)
+                rank = rank + np.where(slices[k] == key, before[k], 0)
             row = np.searchsorted(keys, size << 40 | rank, side="right") - 1
             if len(table):
                 chosen = table[np.maximum(row, 0)]

@@ -50,7 +50,7 @@ def test_every_item_is_packed_once(case):
 
 def test_reduction_keeps_the_optimum():
     rng = random.Random(6)
-    for _ in range(300):
+    for _ in range(600):
         capacity = rng.randint(6, 25)
         sizes = [rng.randint(2, capacity) for _ in range(rng.randint(1, 8))]
         counts = {s: sizes.count(s) for s in sizes}
@@ -69,7 +69,23 @@ def test_little_space_is_left():
     assert n <= 1.01 * math.ceil(sum(s * k for s, k in counts.items()) / 512) + 1
 
 
-def test_documents_in_containers(spark):
+def test_sets_of_three_are_fixed():
+    h = packing.Histogram({11: 3, 6: 3, 4: 3})
+    assert packing.reduce(h, 21) == [(3, {11: 1, 6: 1, 4: 1})] and not h.counts
+    assert packing.worth({11: 3, 6: 3, 4: 3}, 21) == {"items": 9, "fixed_items": 9, "fixed_containers": 3, "containers": 3, "best_fit_alone": 3, "at_least": 3}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 40).flatmap(lambda c: st.tuples(st.just(c), st.dictionaries(st.integers(1, c), st.integers(1, 9), max_size=12))))
+def test_bound_is_below_any_packing(case):
+    capacity, counts = case
+    worth = packing.worth(counts, capacity)
+    assert worth["at_least"] <= min(worth["containers"], worth["best_fit_alone"]) and worth["fixed_items"] <= worth["items"]
+
+
+@pytest.mark.parametrize("part_rows", [packing.PART_ROWS, 40])
+def test_documents_in_containers(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
     rng = random.Random(8)
     rows = [(i, rng.choice([0, 1, 7, 99, 100, 101, 250, 1000, rng.randint(1, 130)])) for i in range(3000)] + [(5, 40), (5, 40)]
     df = spark.createDataFrame(rows, "doc_id bigint, tokens bigint").selectExpr("*", "1 as part", "2 as slice", "3 as r")
