@@ -55,10 +55,14 @@ def online(conf: dict | None = None) -> Online:
 
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="pagelathe", description="Wiki dumps to tokens, diffs, link counts and statistics.")
+    # The names of the first three options.
     parser.add_argument("-d", "--dump-dir", help="folder of .bz2 dumps; without it dumps are fetched")
     parser.add_argument("-c", "--spark-conffile", help="JSON file of the session's master, appName and config")
     parser.add_argument("-o", "--online-conffile", help="JSON file of the version, and number of files to fetch")
     parser.add_argument("-w", "--work-dir", default="/tmp/pagelathe", help="folder for results")
     parser.add_argument("-e", "--endpoint", default="https://dumps.wikimedia.org", help="where dumps are fetched from")
     parser.add_argument("-s", "--single", help="parse one file of wikitext and print its tokens")
+    parser.add_argument("--compressed", help="parse one .bz2 dump and print the number of tokens of each revision")
+    parser.add_argument("--split", help="cut one .bz2 dump into XML parts below the work folder")
+    parser.add_argument("--pages", type=int, default=1000, help="pages of such a part")
     return parser

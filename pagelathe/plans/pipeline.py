@@ -34,7 +34,8 @@ class Phases:
 def run(spark: SparkSession, revisions: DataFrame, work: str, log: str | None = None) -> dict[str, DataFrame]:
     """Pages, diffs, link counts and statistics of ``revisions``, written below ``work``; the tables written.
 
-    Pages are parsed once and written; everything else reads them from there.
+    Pages are parsed once and written; everything else reads them from there. Diffs and counts are also left as JSON
+    lines, the statistics as CSV.
     """
     phases = Phases(log)
 
@@ -47,6 +48,11 @@ def run(spark: SparkSession, revisions: DataFrame, work: str, log: str | None =
     diffs = phases.run("TASK2", lambda: saved(R.page_diffs(pages), "diffs"))
     second = phases.run("STAT2", lambda: saved(R.edit_statistics(diffs), "statistics2"))
     counts = phases.run("TASK3", lambda: saved(R.link_counts(R.page_links(pages)), "link_counts"))
+    stamp = int(time.time() * 1000)
+    files.write_diffs(diffs, f"{work}/diffs_json-{stamp}")
+    files.write_counts(counts, f"{work}/count_json-{stamp}")
+    for name, table in (("statistics1", first), ("statistics2", second)):
+        files.write_statistics(table, f"{work}/{name}_csv-{stamp}")
     merged = saved(S.merge_statistics(first, second), "statistics")
-    files.write_statistics(merged, f"{work}/statistics_csv-{int(time.time() * 1000)}")
+    files.write_statistics(merged, f"{work}/statistics_csv-{stamp}")
     return {"pages": pages, "statistics1": first, "diffs": diffs, "statistics2": second, "link_counts": counts, "statistics": merged}

@@ -113,7 +113,7 @@ QUERIES = {
     "version_index": lambda s, d: R.version_index(box_pages(s, d).where("page is not null and ver is not null")),
     "version_pairs": lambda s, d: R.version_pairs(box_pages(s, d)),
     "version_pairs_selfjoin": lambda s, d: paired(R.version_index(box_pages(s, d).where("page is not null and ver is not null"))),
-    "ts_set": lambda s, d: box_pages(s, d).groupBy("page").agg(F.array_join(F.array_sort(F.collect_set("ver")), "|").alias("vers")),
+    "ts_set": lambda s, d: box_pages(s, d).select("page", "ver").distinct(),
     "token_seq": lambda s, d: R.token_sequences(token_pages(s, d)).select("page", "ver", F.md5(F.array_join("tokens", " ")).alias("tokens")),
     "diff_ops": lambda s, d: R.page_diffs(R.parsed_pages(versioned(s, d))).where("size(diff) > 0"),
     "diff_net_tokens": net_tokens,
@@ -128,7 +128,6 @@ QUERIES = {
     "ratio_hist": ratios,
     "summary": lambda s, d: S.summary(merged(s, d)),
     "title_slug": lambda s, d: box_pages(s, d).where("page is not null").select("page").distinct().select("page", slug(F.col("page")).alias("slug")),
-    "title_extract": lambda s, d: table(s, d, "raw_pages").select("raw_id", selection.title_of(F.concat(F.lit("<page><title>"), F.coalesce("title", F.lit("")), F.lit("</title><ns>0</ns></page>"))).alias("found")),
     "page_select": lambda s, d: selection.selected(table(s, d, "documents"), "text", "page", 1000, ("Museum", "\\(ship\\)")).select("doc_id"),
     "resume_after": lambda s, d: selection.resumed_after(table(s, d, "page_files").select("file_id", "title"), ["file_id"], "title", "Boge Setalo district"),
     "top_k_small": lambda s, d: table(s, d, "page_files").where("n_bytes is not null").orderBy("n_bytes", "file_id").limit(100).select("file_id", "n_bytes"),
@@ -136,7 +135,6 @@ QUERIES = {
     "page_chunks_whole": lambda s, d: selection.chunks(token_pages(s, d).where("page is not null").select("page").distinct(), ["page"], 7, 20, True),
     "rolling_parts": lambda s, d: selection.rolling_parts(table(s, d, "page_files").select("file_id", "n_bytes"), ["file_id"], F.coalesce("n_bytes", F.lit(0)), 100_000).select("file_id", "part"),
     "json_roundtrip": roundtrip,
-    "md5_check": lambda s, d: table(s, d, "page_files").select("file_id", F.md5("body").alias("md5")),
     "namespace_filter": lambda s, d: R.page_links(all_pages(s, d)).where(~F.col("link").rlike("^(?:" + "|".join(MEDIA) + ")")).groupBy("link").agg(F.count(F.lit(1)).alias("n")),
     "wikilink_parts": links_in_text,
     "infobox_first": boxes,
@@ -189,7 +187,7 @@ select p.page, revs, coalesce(links, 0) as links, cast(ceil(n / revs) as bigint)
     "version_index": f"with {VERSIONS} select page, ver, cast(row_number() over (partition by page order by ver) - 1 as integer) as idx from versions",
     "version_pairs": f"with {VERSIONS} select * from (select page, ver as ver1, lead(ver) over (partition by page order by ver) as ver2 from versions) where ver2 is not null",
     "version_pairs_selfjoin": f"with {VERSIONS} select * from (select page, ver as ver1, lead(ver) over (partition by page order by ver) as ver2 from versions) where ver2 is not null",
-    "ts_set": "select title as page, coalesce(string_agg(distinct timestamp, '|' order by timestamp), '') as vers from page_history group by 1",
+    "ts_set": "select distinct title as page, timestamp as ver from page_history",
     "token_seq": """with rows as (select title as page, timestamp as ver, list_transform(list_sort(list_transform(unstructured_part, lambda x: {'p': x.position, 't': case when x.link is not null then '[E]' || x.link else x.text end})), lambda y: {'t': y.t, 'p': y.p}) as t
   from page_tokens where len(unstructured_part) > 0)
 select page, ver, md5(array_to_string(list_transform(flatten(list_sort(list(t))), lambda x: x.t), ' ')) as tokens from rows group by page, ver""",
@@ -208,7 +206,6 @@ case when added_tokens <> 0 then removed_tokens / added_tokens end as removed_ra
     "ratio_hist": f"with {MERGED} " + " union all ".join([HIST.format("insertion", "revs", "(revs + inss)", "inss <> 0"), HIST.format("deletion", "revs", "(revs + dels)", "dels <> 0"), HIST.format("removed", "removed_tokens", "added_tokens", "true")]),
     "summary": f"with {MERGED} select count(*) as pages, cast(sum(revs) as bigint) as revisions, cast(floor(avg(avg_tokens)) as bigint) as mean_tokens, cast(floor(avg(links)) as bigint) as mean_links, cast(floor(avg(revs)) as bigint) as mean_revs from merged",
     "title_slug": "select title as page, array_to_string(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}_]'), lambda w: w <> ''), '_') as slug from (select distinct title from page_history where title is not null)",
-    "title_extract": "select raw_id, nullif(title, '') as found from raw_pages",
     "page_select": "select doc_id from documents where length(text) >= 1000 and not coalesce(regexp_matches(page, 'Museum|\\(ship\\)'), false)",
     "resume_after": "select file_id, title from page_files where file_id > (select min(file_id) from page_files where title = 'Boge Setalo district')",
     "top_k_small": "select file_id, n_bytes from page_files where n_bytes is not null order by n_bytes, file_id limit 100",
@@ -216,7 +213,6 @@ case when added_tokens <> 0 then removed_tokens / added_tokens end as removed_ra
     "page_chunks_whole": "select page, chunk from (select *, count(*) over (partition by chunk) as n from (select page, (row_number() over (order by page) - 1) // 7 as chunk from (select distinct title as page from page_tokens where title is not null))) where n = 7 and chunk < 20",
     "rolling_parts": "select file_id, cast(coalesce(sum(coalesce(n_bytes, 0)) over (order by file_id rows between unbounded preceding and 1 preceding), 0) // 100000 as bigint) as part from page_files",
     "json_roundtrip": "select title as page, timestamp as ver, md5(array_to_string(list_transform(unstructured_part, lambda x: x.text || '|' || coalesce(x.link, '-') || '|' || x.position), ' ')) as tokens from page_tokens where unstructured_part is not null",
-    "md5_check": "select file_id, md5(body) as md5 from page_files",
     "namespace_filter": f"with {LINKS} select link, count(*) as n from links where not regexp_matches(link, '^(?:{'|'.join(MEDIA)})') group by link",
     "wikilink_parts": """select doc_id, split_part(split_part(i, '|', 1), '#', 1) as link,
   case when contains(i, '|') and trim(split_part(i, '|', -1)) <> '' then trim(split_part(i, '|', -1)) else split_part(split_part(i, '|', 1), '#', 1) end as shown

@@ -35,12 +35,30 @@ def page_lines(parsed: DataFrame) -> DataFrame:
     return parsed.select("page", "ver", F.expr(body).alias("value"))
 
 
-def write_pages(parsed: DataFrame, path: str) -> None:
-    """JSON lines in a folder per page title's slug, versions of a page in order. Pages with one slug share its folder."""
-    rows = page_lines(parsed).withColumn("slug", F.coalesce(F.nullif(slug(F.col("page")), F.lit("")), F.lit("_")))
+def write_pages(parsed: DataFrame, path: str, per_page: bool = False) -> None:
+    """JSON lines in order of page and version, in files of good size, however many pages there are or versions one has.
+
+    ``per_page``: a folder per page title's slug with one file instead; pages with one slug share it. That is a file per
+    page, for small exports.
+    """
+    rows = page_lines(parsed)
+    if not per_page:
+        rows.repartitionByRange("page", "ver").sortWithinPartitions("page", "ver").select("value").write.text(path)
+        return
+    rows = rows.withColumn("slug", F.coalesce(F.nullif(slug(F.col("page")), F.lit("")), F.lit("_")))
     rows.repartition("slug").sortWithinPartitions("slug", "page", "ver").select("slug", "value").write.partitionBy("slug").text(path)
 
 
+def write_diffs(diffs: DataFrame, path: str) -> None:
+    """JSON lines of ``page, ver1, ver2, diff``."""
+    diffs.select("page", "ver1", "ver2", "diff").write.option("ignoreNullFields", "false").json(path)
+
+
+def write_counts(counts: DataFrame, path: str) -> None:
+    """JSON lines of ``P1, P2, revision, count``."""
+    counts.select("P1", "P2", "revision", "count").write.option("ignoreNullFields", "false").json(path)
+
+
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DIFF).json(path)
 
@@ -49,12 +67,17 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COUNT).json(path)
 
 
-def read_statistics(spark: SparkSession, folder: str, kind: int, last_wins: bool = False) -> DataFrame:
-    """Shards ``statistics<kind>*.csv`` of a folder; values that aren't whole numbers raise.
+def read_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """``page`` and all seven statistics of the CSV files of a folder, as ``write_statistics`` writes them merged."""
+    return spark.read.option("header", "true").option("mode", "FAILFAST").option("escape", '"').option("pathGlobFilter", "*.csv").schema(f"{FIRST}, {SECOND.removeprefix('page string, ')}").csv(folder)
+
+
+def read_statistics(spark: SparkSession, folder: str, kind: int, last_wins: bool = False, pattern: str | None = None) -> DataFrame:
+    """Shards ``statistics<kind>*.csv`` (or files of another pattern) of a folder; values that aren't whole numbers raise.
 
     ``last_wins``: of rows of one page within a shard, the last counts; across shards pages must differ (``shard_union``).
     """
-    rows = spark.read.option("header", "true").option("mode", "FAILFAST").option("pathGlobFilter", f"statistics{kind}*.csv").schema(FIRST if kind == 1 else SECOND).csv(folder)
+    rows = spark.read.option("header", "true").option("mode", "FAILFAST").option("escape", '"').option("pathGlobFilter", pattern or f"statistics{kind}*.csv").schema(FIRST if kind == 1 else SECOND).csv(folder)
     if not last_wins:
         return rows
     values = [c for c in rows.columns if c != "page"]
@@ -70,8 +93,16 @@ def write_statistics(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws(",", *cells).alias(head)).write.option("header", "true").option("quote", "").option("escape", "").option("sep", "\x01").csv(path)
 
 
-def write_xml_parts(pages: DataFrame, xml: str, bucket: str, path: str) -> None:
-    """One well-formed XML file per value of ``bucket``, in a folder of its own."""
-    parts = pages.repartition(bucket).sortWithinPartitions(bucket)
-    whole = parts.groupBy(bucket).agg(F.concat(F.lit("<mediawiki>\n"), F.array_join(F.collect_list(xml), ""), F.lit("\n</mediawiki>\n")).alias("value"))
-    whole.write.partitionBy(bucket).text(path)
+def write_xml_parts(pages: DataFrame, xml: str, bucket: str, path: str, order: tuple[str, ...] = ()) -> None:
+    """One well-formed XML file per value of ``bucket``, in a folder of its own, its pages in the order given.
+
+    Each file is written as a stream: its rows are sorted, never gathered.
+    """
+    frame = pages.select(bucket).distinct()
+    keys = [F.col(c) for c in order]
+    none = [F.lit(None).cast(dict(pages.dtypes)[c]).alias(f"_o{i}") for i, c in enumerate(order)]
+    own = [c.alias(f"_o{i}") for i, c in enumerate(keys)]
+    rows = pages.select(bucket, F.lit(1).alias("_kind"), *own, F.col(xml).alias("value"))
+    for kind, line in ((0, "<mediawiki>"), (2, "</mediawiki>")):
+        rows = rows.unionByName(frame.select(bucket, F.lit(kind).alias("_kind"), *none, F.lit(line).alias("value")))
+    rows.repartition(bucket).sortWithinPartitions(bucket, "_kind", *[f"_o{i}" for i in range(len(order))]).select(bucket, "value").write.partitionBy(bucket).text(path)

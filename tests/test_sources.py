@@ -35,8 +35,8 @@ def test_dump_and_revisions(spark, dump):
     rows = dumps.kept_revisions(dumps.read_dump(spark, dump)).orderBy("page", "rev_ord").collect()
     assert [(r.page, r.ver[:10], r.contributor, r.rev_ord) for r in rows] == [("A", "2020-01-01", "Ann", 0), ("A", "2020-01-02", None, 1), ("C++", "2020-01-01", None, 0)]
     assert rows[0].text == "a b [[B]] &nbsp;"
-    split = dumps.read_dump(spark, dump, parallel=True)
-    assert split.count() == 2 and split.exceptAll(dumps.read_dump(spark, dump)).count() == 0
+    split = dumps.read_dump(spark, dump)
+    assert split.count() == 2 and split.exceptAll(dumps.read_dump(spark, dump, whole=True)).count() == 0
 
 
 def test_splits_within_a_file_lose_no_page(spark, tmp_path):
@@ -46,9 +46,9 @@ def test_splits_within_a_file_lose_no_page(spark, tmp_path):
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
-        split = dumps.read_dump(spark, str(tmp_path), parallel=True)
+        split = dumps.read_dump(spark, str(tmp_path))
         assert split.rdd.getNumPartitions() > 2
-        assert split.exceptAll(dumps.read_dump(spark, str(tmp_path))).count() == 0 and split.count() == 2000
+        assert split.exceptAll(dumps.read_dump(spark, str(tmp_path), whole=True)).count() == 0 and split.count() == 2000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
@@ -67,16 +67,18 @@ def test_pipeline_and_command_line(spark, dump, tmp_path, capsys):
 
 def test_json_lines_round_trip(spark, dump, tmp_path):
     parsed = R.parsed_pages(dumps.kept_revisions(dumps.read_dump(spark, dump)))
-    files.write_pages(parsed, str(tmp_path / "json"))
-    back = files.read_pages(spark, str(tmp_path / "json"))
-    assert back.select(parsed.columns).exceptAll(parsed).count() == 0 and back.count() == 3
+    for name, per_page in (("ranges", False), ("json", True)):
+        files.write_pages(parsed, str(tmp_path / name), per_page)
+        back = files.read_pages(spark, str(tmp_path / name))
+        columns = ["page", "ver", "contributor", "structured_part", "unstructured_part"]
+        assert back.select(columns).exceptAll(parsed.select(columns)).count() == 0 and back.count() == 3
     line = json.loads(next((tmp_path / "json" / "slug=c").glob("*.txt")).read_text())
     assert line == {"title": "C++", "timestamp": "2020-01-01T00:00:00Z", "contributor": None, "structured_part": [], "unstructured_part": []}
     diffs = R.page_diffs(parsed)
-    diffs.write.json(str(tmp_path / "diffs"))
+    files.write_diffs(diffs, str(tmp_path / "diffs"))
     assert files.read_diffs(spark, str(tmp_path / "diffs")).exceptAll(diffs).count() == 0
     counts = R.link_counts(R.page_links(parsed))
-    counts.write.json(str(tmp_path / "counts"))
+    files.write_counts(counts, str(tmp_path / "counts"))
     assert files.read_counts(spark, str(tmp_path / "counts")).count() == counts.count() == 2
 
 
@@ -114,7 +116,7 @@ def test_selection_chunks_and_parts(spark, tmp_path):
     assert sorted(r.i for r in selection.resumed_after(rows, ["i"], "i", "150").collect()) == list(range(151, 200))
     assert selection.resumed_after(rows, ["i"], "i", "999").count() == 0
     files.write_xml_parts(selection.chunks(pages, ["t"], 2), "xml", "chunk", str(tmp_path / "xml"))
-    assert dumps.read_dump(spark, [str(tmp_path / "xml")]).count() == 4
+    assert dumps.read_dump(spark, [str(tmp_path / "xml")]).count() == dumps.read_dump(spark, [str(tmp_path / "xml")], whole=True).count() == 4
 
 
 STATUS = {"jobs": {"articlesdump": {"status": "done", "files": {f"f{n}": {"url": f"/f{n}", "md5": hashlib.md5(b"x" * n).hexdigest(), "size": n} for n in (30, 10, 20)}}}}
@@ -135,6 +137,8 @@ def test_online_files(spark, tmp_path):
         dumps.listed_files({"jobs": {"articlesdump": {"status": "waiting", "files": {}}}})
     assert [(r.md5, r.size) for r in dumps.checked_files(spark, str(tmp_path)).collect()] == [(found[0].md5, 10)]
 
+    assert dumps.cached_file("http://e", found[1], f"file://{tmp_path}/new", fake) == f"file://{tmp_path}/new/wikidump_{found[1].md5}.bz2"
+
     reader = dumps.OnlineReader({"endpoint": "http://e", "version": "v", "max": "2"}, fake)
     parts = reader.partitions()
     assert [next(iter(reader.read(p)))[2] for p in parts] == [10, 20]
@@ -149,3 +153,30 @@ def test_config():
         config.session({"master": "local"})
     assert config.online({"wiki-version": "1", "process-in-memory": True, "max-dump": None}) == config.Online("1", True, None)
     assert config.online().max_dump == 3
+
+
+def test_records_of_a_stream():
+    import io
+
+    text = "a</page>bb</page></page>\nlast"
+    for size in (1, 3, 100):
+        assert sum(dumps.records_in(io.StringIO(text), "</page>", size), []) == ["a", "bb", "", "\nlast"]
+
+
+def test_debug_options(spark, dump, tmp_path, capsys):
+    conf = tmp_path / "conf.json"
+    conf.write_text('{"master": "local", "appName": "x", "config": {}}')
+    main(["--compressed", f"{dump}/one.xml.bz2", "-c", str(conf)])
+    assert sorted(capsys.readouterr().out.splitlines()) == ["A 2020-01-01T00:00:00Z 4", "A 2020-01-02T00:00:00Z 3", "C++ 2020-01-01T00:00:00Z 0"]
+    main(["--split", f"{dump}/one.xml.bz2", "--pages", "1", "-w", str(tmp_path / "w"), "-c", str(conf)])
+    assert len(list((tmp_path / "w" / "parts").glob("chunk=*/*.txt"))) == 2
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from pagelathe.session import shared_dir
+
+    elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError):
+        shared_dir(elsewhere)
