@@ -25,7 +25,7 @@ SAMPLE, CUT_CHARS = 32, 64
 
 @dataclass(frozen=True)
 class Slots:
-    """``rows`` with a column ``slot`` (0 but for hot keys), and the hot keys, or None if there are none."""
+    """``rows`` with a column ``slot`` (0 but for hot keys, whose slots start at 1), and the hot keys, or None if there are none."""
 
     rows: DataFrame
     hot: DataFrame | None
@@ -57,5 +57,5 @@ def with_slots(df: DataFrame, key: str, order: str, hot_rows: int = HOT_ROWS, mo
     seen = df.select(key, order).distinct().join(hot, key).where(looked_at).groupBy(key, "slots").agg(F.sort_array(F.collect_list(value)).alias("seen"))
     cuts = F.expr("transform(sequence(1, slots - 1), i -> element_at(seen, cast(bigint(i) * size(seen) div slots as int) + 1))")
     keys = written(seen.select(key, F.when(F.col("slots") > 1, cuts).otherwise(F.array().cast(f"array<{kind}>")).alias("cuts")), "cuts")
-    slotted = df.join(F.broadcast(keys), key, "left").withColumn("slot", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(before("cuts", order)))
+    slotted = df.join(F.broadcast(keys), key, "left").withColumn("slot", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(before("cuts", order) + 1))
     return Slots(slotted.drop("cuts"), keys.select(key))

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelathe.functions.tokendiff import token_diff
+from pagelathe.functions.tokendiff import token_diff, token_ops
 from pagelathe.functions.wikitext import PARSED, parse
 from pagelathe.operators.ordered import HOT_ROWS, with_slots
 from pagelathe.session import written
@@ -59,20 +59,29 @@ def link_counts(links: DataFrame) -> DataFrame:
     return links.groupBy(F.col("page").alias("P1"), F.col("link").alias("P2"), F.col("ver").alias("revision")).agg(F.count(F.lit(1)).cast("int").alias("count"))
 
 
+def version_rows(parsed: DataFrame) -> DataFrame:
+    """``page, ver, o, t``: the marked tokens of each revision that has any, with their positions, and its place."""
+    place = F.col("rev_ord") if "rev_ord" in parsed.columns else F.lit(None).cast("int")
+    return parsed.where("size(unstructured_part) > 0").select(
+        "page", "ver", place.alias("o"),
+        F.expr("""transform(array_sort(unstructured_part, (a, b) -> a.position - b.position),
+                  x -> struct(if(x.link is not null, concat('[E]', x.link), x.text) as token, x.position as position))""").alias("t"),
+    )
+
+
+def joined_versions(rows: DataFrame, *by: str) -> DataFrame:
+    """``by``, ``tokens, positions``: the revisions of one version as one."""
+    together = rows.groupBy(*by).agg(F.flatten(F.sort_array(F.collect_list(F.struct("o", "t")))["t"]).alias("t"))
+    return together.select(*by, F.col("t.token").alias("tokens"), F.col("t.position").alias("positions"))
+
+
 def token_sequences(parsed: DataFrame) -> DataFrame:
     """``page, ver, tokens, positions``: the marked tokens of each version in order.
 
     Versions without tokens are left out. Revisions of one page with the same ``ver`` are one version: their tokens
     follow one another, in the order of ``rev_ord`` where that is known, else of the sequences themselves.
     """
-    place = F.col("rev_ord") if "rev_ord" in parsed.columns else F.lit(None).cast("int")
-    rows = parsed.where("size(unstructured_part) > 0").select(
-        "page", "ver", place.alias("o"),
-        F.expr("""transform(array_sort(unstructured_part, (a, b) -> a.position - b.position),
-                  x -> struct(if(x.link is not null, concat('[E]', x.link), x.text) as token, x.position as position))""").alias("t"),
-    )
-    together = rows.groupBy("page", "ver").agg(F.flatten(F.sort_array(F.collect_list(F.struct("o", "t")))["t"]).alias("t"))
-    return together.select("page", "ver", F.col("t.token").alias("tokens"), F.col("t.position").alias("positions"))
+    return joined_versions(version_rows(parsed), "page", "ver")
 
 
 def version_index(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -101,18 +110,54 @@ def version_pairs(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return pairs.where("ver2 is not null").select("page", F.col("ver").alias("ver1"), "ver2")
 
 
-def page_diffs(parsed: DataFrame) -> DataFrame:
-    """``page, ver1, ver2, diff`` of all consecutive versions that have tokens.
+def page_diffs(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``page, ver1, ver2, diff`` of all consecutive versions that have tokens, in string order of the versions.
 
-    The token arrays are written once, as three steps read them. Pairs are found on the versions alone; the arrays then
-    move once for each side, keyed by page and version, so that a page with many versions is spread over tasks.
+    The tokens are written once, as they are counted before they move; they move once, to the task of their page, or of
+    the slot of a hot page, where each version is compared with the one before it as they stream by in order. The first
+    and last versions of a hot page's slots are put aside and compared over the edges. Rows without page or version are
+    left out.
     """
-    sequences = written(token_sequences(parsed), "sequences")
-    pairs = version_pairs(sequences)
-    old = sequences.select("page", F.col("ver").alias("ver1"), F.col("tokens").alias("old"), "positions")
-    new = sequences.select("page", F.col("ver").alias("ver2"), F.col("tokens").alias("new"))
-    both = pairs.join(old, ["page", "ver1"]).join(new, ["page", "ver2"])
-    return both.select("page", "ver1", "ver2", token_diff(F.col("old"), F.col("positions"), F.col("new")).alias("diff"))
+    rows = written(version_rows(parsed.where("page is not null and ver is not null")), "sequences")
+    cut = with_slots(rows, "page", "ver", hot_rows)
+    by = ["page"] if cut.hot is None else ["page", "slot"]  # a constant slot would cost another shuffle
+    sequences = joined_versions(cut.rows.repartition(*by), *by, "ver").sortWithinPartitions(*by, "ver")
+    ordered = sequences.select("page", F.col("slot") if cut.hot is not None else F.lit(0).alias("slot"), "ver", "tokens", "positions")
+    ops = pa.list_(pa.struct([("action", pa.string()), ("position", pa.int32()), ("tokens", pa.list_(pa.string()))]))
+    schema = pa.schema([("page", pa.string()), ("ver1", pa.string()), ("ver2", pa.string()), ("diff", ops), ("slot", pa.int32()), ("tokens", pa.list_(pa.string())), ("positions", pa.list_(pa.int32()))])
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                out = []
+                for row in zip(*(c.to_pylist() for c in batch.slice(low, 500).columns)):
+                    page, slot, ver, tokens, positions = row
+                    if last is not None and last[:2] == row[:2]:
+                        out.append((page, last[2], ver, token_ops(last[3], last[4], tokens), slot, None, None))
+                    else:
+                        out += edges(last, row)
+                    last = row
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        if out := edges(last, None):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    def edges(last, first) -> list[tuple]:
+        """The last version of a slot and the first of the next one, where they belong to hot pages."""
+        found = [(last[0], last[2], None, None, last[1], last[3], last[4])] if last is not None and last[1] else []
+        return found + ([(first[0], None, first[2], None, first[1], first[3], first[4])] if first is not None and first[1] else [])
+
+    found = ordered.mapInArrow(run, "page string, ver1 string, ver2 string, diff array<struct<action: string, position: int, tokens: array<string>>>, slot int, tokens array<string>, positions array<int>")
+    if cut.hot is None:
+        return found.select("page", "ver1", "ver2", "diff")
+    found = written(found, "diffs")
+    firsts = found.where("ver1 is null").select("page", "slot", "ver2", F.col("tokens").alias("new"))
+    lasts = found.where("ver2 is null").select("page", "slot", "ver1", F.col("tokens").alias("old"), "positions")
+    following = lasts.select("page", F.col("slot").alias("of"), F.lead("slot").over(Window.partitionBy("page").orderBy("slot")).alias("slot"))
+    pairs = lasts.withColumnRenamed("slot", "of").join(following, ["page", "of"]).join(firsts, ["page", "slot"])
+    over = pairs.select("page", "ver1", "ver2", token_diff(F.col("old"), F.col("positions"), F.col("new")).alias("diff"))
+    return found.where("ver1 is not null and ver2 is not null").select("page", "ver1", "ver2", "diff").unionByName(over)
 
 
 def edit_counts(diffs: DataFrame) -> DataFrame:

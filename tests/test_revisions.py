@@ -83,7 +83,7 @@ def test_link_counts_and_edits(spark):
 def test_the_diff_runs_once(spark):
     diffs = R.page_diffs(R.parsed_pages(texts(spark, ROWS))).where("size(diff) > 0")
     plan = diffs._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+    assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 0 and plan.count("Exchange") <= 2
     assert token_diff is not None
 
 
@@ -112,6 +112,16 @@ def test_hot_pages_are_cut_in_string_order(spark):
     assert len(numbered) == len(set(numbered)) and set(numbered) == index("Hot", vers) | index("Warm", vers) | index("Cold", list(vers)[:20])
 
 
+def test_diffs_of_hot_pages_are_cut_without_a_trace(spark):
+    rng = random.Random(18)
+    words = lambda: " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 12)))
+    rows = [(rng.choice(["Hot"] * 6 + ["Warm", "Cold", None]), f"2020-01-01T{rng.randint(0, 400):05}{rng.choice('Z+')}", words()) for _ in range(500)]
+    parsed = R.parsed_pages(texts(spark, rows))
+    shown = lambda df: sorted((r.page, r.ver1, r.ver2, [(o.action, o.position, tuple(o.tokens)) for o in r.diff]) for r in df.collect())
+    whole = shown(R.page_diffs(parsed))
+    assert whole == shown(R.page_diffs(parsed, hot_rows=30)) and len(whole) > 200
+
+
 def test_revisions_of_one_version_follow_their_place(spark):
     rows = [("P", "1", "z y", 0), ("P", "1", "a b", 1), ("P", "2", "a", 2)]
     parsed = R.parsed_pages(spark.createDataFrame(rows, "page string, ver string, text string, rev_ord int").selectExpr("*", "null as contributor"))
