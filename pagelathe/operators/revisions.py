@@ -110,7 +110,11 @@ def version_pairs(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return pairs.where("ver2 is not null").select("page", F.col("ver").alias("ver1"), "ver2")
 
 
-def page_diffs(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+#: Versions from which a page is compared in slots: comparing costs far more than sorting.
+DIFF_ROWS = 2_000
+
+
+def page_diffs(parsed: DataFrame, hot_rows: int = DIFF_ROWS) -> DataFrame:
     """``page, ver1, ver2, diff`` of all consecutive versions that have tokens, in string order of the versions.
 
     The tokens are written once, as they are counted before they move; they move once, to the task of their page, or of
