@@ -11,6 +11,7 @@ from pagelathe import config
 from pagelathe.functions.wikitext import parse
 from pagelathe.operators.revisions import parsed_pages
 from pagelathe.plans import pipeline
+from pagelathe.session import clean
 from pagelathe.sources import dumps, files, selection
 
 
@@ -53,6 +54,7 @@ def main(args: list[str] | None = None) -> int:
     revisions = dumps.kept_revisions(pages)
     for name, table in pipeline.run(spark, revisions, options.work_dir, f"{options.work_dir}/exec.log").items():
         print(name, table.count())
+    clean(spark)
     return 0
 
 

@@ -65,9 +65,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scratches: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it stays until ``clean``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _scratches.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once no result that reads them is needed any more."""
+    for path in _scratches.pop(spark.sparkContext.applicationId, []):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

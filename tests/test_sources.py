@@ -180,3 +180,13 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(RuntimeError):
         shared_dir(elsewhere)
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pagelathe.session import clean, written
+
+    table = written(spark.range(5), "numbers")
+    assert table.count() == 5
+    clean(spark)
+    with pytest.raises(Exception, match="(?s)PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        written(spark.range(1), "other").sparkSession.read.parquet(table.inputFiles()[0]).count()
